@@ -57,13 +57,14 @@ def bin_index(c: Column | str, width: Column | float, boundary: Column | float =
     """Index of the right-closed bin ``(boundary+(i-1)*width, boundary+i*width]``.
 
     The default boundary, half a width, centres the bins on multiples of the width.
+    Positions are rounded first, so that a value on an edge stays in the lower bin.
     """
     width = width if isinstance(width, Column) else F.lit(float(width))
     if boundary is None:
         boundary = width / 2
     elif not isinstance(boundary, Column):
         boundary = F.lit(float(boundary))
-    return F.ceil((as_col(c) - boundary) / width).cast("long")
+    return F.ceil(F.round((as_col(c) - boundary) / width, 9)).cast("long")
 
 
 def tiered_pay(base, hours, overtime, exempt: Column) -> Column:

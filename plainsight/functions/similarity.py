@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _CELLS_PER_BLOCK = 1 << 19
 
@@ -55,7 +56,7 @@ def jaro_block(left: list[str], right: list[str]) -> np.ndarray:
     return score
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def jaro(left: pd.Series, right: pd.Series) -> pd.Series:
     """Jaro similarity of two text columns; NULL if either is NULL."""
     known = (left.notna() & right.notna()).to_numpy()

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from .missing import as_col
 
-_WORD_OR_GAP = r"[\p{L}\p{N}']+|[^\p{L}\p{N}']+"
+# Marks a word break that is no blank; control characters do not occur in names.
+_BREAK = "\u0001 "
 
 
 def title_case(c: Column | str) -> Column:
-    """Capitalise every word, where any character but letter, digit and ' ends a word."""
-    c = as_col(c)
-    pieces = F.regexp_extract_all(F.lower(c), F.lit(_WORD_OR_GAP), F.lit(0))
-    cased = F.transform(pieces, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
-    return F.when(c.isNotNull(), F.array_join(cased, ""))
+    """Capitalise every word, where any character but letter, digit and ' ends a word.
+
+    ``initcap`` only knows blanks, so other word ends get one for its sake.
+    """
+    spaced = F.regexp_replace(as_col(c), r"([^\p{L}\p{N}' ])", f"$1{_BREAK}")
+    return F.replace(F.initcap(spaced), F.lit(_BREAK), F.lit(""))
 
 
 def lower_trim(c: Column | str) -> Column:

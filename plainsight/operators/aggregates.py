@@ -132,19 +132,27 @@ def histogram_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     )
 
 
-def histogram_2d(df: DataFrame, facet: str, x: str, y: str, bins: tuple[int, int]) -> DataFrame:
-    """Counts per facet on a grid that spans the range of each column."""
-    spans = df.agg(
-        *[f(c).alias(f"{c}_{f.__name__}") for c in (x, y) for f in (F.min, F.max)]
-    )
+def histogram_2d(df: DataFrame, facet: str, x: str, y: str, bins: tuple[int, int], free_x: bool = False, count: Column | None = None) -> DataFrame:
+    """Counts per facet on a grid that spans the range of each column.
+
+    ``free_x`` lets x span its range inside each facet. ``count`` sums a number
+    of rows each row stands for.
+    """
+    rows = df.where(~is_missing(x) & ~is_missing(y))
+    spans = rows.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in (x, y) for f in (F.min, F.max)])
+    edges = {c: (spans.select(f"{c}_min").scalar(), spans.select(f"{c}_max").scalar()) for c in (x, y)}
+    if free_x:
+        own = rows.groupBy(F.col(facet).alias("_facet")).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
+        rows = rows.join(own, F.col(facet).eqNullSafe(F.col("_facet")))
+        edges[x] = F.col("_low"), F.col("_high")
 
     def cell(c: str, n: int) -> Column:
-        low, high = spans.select(f"{c}_min").scalar(), spans.select(f"{c}_max").scalar()
+        low, high = edges[c]
         share = F.coalesce(F.try_divide(F.col(c) - low, high - low), F.lit(0.0))
         return F.greatest(F.ceil(F.round(share * n, 9)), F.lit(1)).cast("long")
 
-    rows = df.where(~is_missing(x) & ~is_missing(y))
-    return rows.groupBy(facet, cell(x, bins[0]).alias("x_bin"), cell(y, bins[1]).alias("y_bin")).agg(F.count("*").alias("n"))
+    keys = [F.col(facet), cell(x, bins[0]).alias("x_bin"), cell(y, bins[1]).alias("y_bin")]
+    return rows.groupBy(*keys).agg((F.count("*") if count is None else F.sum(count)).alias("n"))
 
 
 def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:

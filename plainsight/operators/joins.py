@@ -110,12 +110,10 @@ def semi_band(df: DataFrame, value: str, anchors: DataFrame, anchor: str, width:
         buckets.select("*", step.alias("_d"))
         .groupBy((F.col("_b") + F.col("_d")).alias("_bucket"))
         .agg(
-            F.max(F.when(F.col("_d") >= 0, F.col("_lo"))).alias("_lo_under"),
             F.max(F.when(F.col("_d") > 0, F.col("_hi"))).alias("_under"),
             F.min(F.when(F.col("_d") < 0, F.col("_lo"))).alias("_over"),
             F.max(F.col("_d") == 0).alias("_inside"),
         )
-        .drop("_lo_under")
     )
     x = F.col(value).cast("double")
     near = F.col("_inside") | (F.abs(x - F.col("_under")) <= width) | (F.abs(x - F.col("_over")) <= width)

@@ -18,9 +18,8 @@ def rectangle(df: DataFrame, outer: str, parent: Sequence[str], inner: str, posi
     is missing or empty, and NULL elements, give no row.
     """
     parents = df.select(F.explode(outer).alias("_p"))
-    items = parents.select(
-        *[F.col(f"_p.{c}").alias(c) for c in parent], F.posexplode(f"_p.{inner}").alias("_pos", "_item")
-    ).where(F.col("_item").isNotNull())
+    present = F.filter(F.col(f"_p.{inner}"), lambda x: x.isNotNull())
+    items = parents.select(*[F.col(f"_p.{c}").alias(c) for c in parent], F.posexplode(present).alias("_pos", "_item"))
     return items.select(*parent, (F.col("_pos") + 1).alias(position), "_item.*")
 
 
