@@ -199,10 +199,10 @@ def mean_of_ratios(t):
     """,
 )
 def max_minus_const(t):
-    from ..operators.joins import join
+    from ..operators.joins import join, small
 
     usual = _year(t).groupBy("year").agg(F.avg("o_totalprice").alias("usual"))
-    rows = join(_year(t), usual, ["year"])
+    rows = join(_year(t), small(usual), ["year"], few=True)
     return A.max_minus_constant(rows, ["year"], "o_totalprice", "usual", "above").withColumn("above", F.round("above", 4))
 
 

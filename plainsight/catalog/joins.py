@@ -23,8 +23,8 @@ def left_join(t):
     """,
 )
 def left_join_chain(t):
-    rows = J.join(t.lineitem, t.orders, {"l_orderkey": "o_orderkey"})
-    rows = J.join(rows, t.customer, {"o_custkey": "c_custkey"})
+    rows = J.join(t.lineitem, t.orders, {"l_orderkey": "o_orderkey"}, few=True)
+    rows = J.join(rows, t.customer, {"o_custkey": "c_custkey"}, few=True)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "c_name")
 
 

@@ -80,6 +80,11 @@ def _all(t):
     return s, p, P.anchors(s, p, ANCHORS)
 
 
+def _titles(t):
+    s, p, a = _all(t)
+    return P.titled(s, p), a
+
+
 @query("pl_songs", _SONGS + "select track_id, artist, year, tempo, key from songs")
 def pl_songs(t):
     return _songs(t).select("track_id", "artist", "year", "tempo", "key")
@@ -221,7 +226,7 @@ def h1_cooccur(t):
 
 @query("h2_key_tempo", _ANCHORS + "select * from h2top")
 def h2_key_tempo(t):
-    return P.same_key_tempo(*_all(t))
+    return P.same_key_tempo(*_titles(t))
 
 
 @query(
@@ -229,17 +234,17 @@ def h2_key_tempo(t):
     _ANCHORS + "select distinct track_id, track_name, artist_name from matched where artist_name in (select artist_name from anchors)",
 )
 def h3_same_artist(t):
-    return P.same_artist(*_all(t))
+    return P.same_artist(*_titles(t))
 
 
 @query("h4_vibe", _ANCHORS + "select * from h4")
 def h4_vibe(t):
-    return P.same_vibe(*_all(t))
+    return P.same_vibe(*_titles(t))
 
 
 @query("h5_valence", _ANCHORS + "select * from h5")
 def h5_valence(t):
-    return P.same_mood(*_all(t))
+    return P.same_mood(*_titles(t))
 
 
 @query("pl_final", _FINAL + "select * from final")

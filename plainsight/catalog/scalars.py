@@ -285,13 +285,13 @@ def cast_safe(t):
     "tiered_pay",
     """
     select l_orderkey, l_partkey, round(case when l_linestatus = 'O' then b when b < 100 then b * (l_quantity + l_tax * 1.5)
-      when b >= 100 then (b / 260) * (l_quantity / 7.5) end, 4) as pay
+      when b >= 100 then (b / 260) * (l_quantity / 7.5) end, 8) as pay
     from (select *, l_extendedprice / 100 as b from lineitem)
     """,
 )
 def tiered_pay(t):
     pay = N.tiered_pay(F.col("l_extendedprice") / 100, "l_quantity", "l_tax", F.col("l_linestatus") == "O")
-    return t.lineitem.select("l_orderkey", "l_partkey", F.round(pay, 4).alias("pay"))
+    return t.lineitem.select("l_orderkey", "l_partkey", F.round(pay, 8).alias("pay"))
 
 
 @query("by_year", "select year(l_shipdate) as year, sum(l_quantity) as qty, count(*) as n from lineitem group by 1")

@@ -56,8 +56,7 @@ def jaro_block(left: list[str], right: list[str]) -> np.ndarray:
     return score
 
 
-@pandas_udf(DoubleType())
-def jaro(left: pd.Series, right: pd.Series) -> pd.Series:
+def _score(left: pd.Series, right: pd.Series) -> pd.Series:
     """Jaro similarity of two text columns; NULL if either is NULL."""
     known = (left.notna() & right.notna()).to_numpy()
     out = np.full(len(left), np.nan)
@@ -76,3 +75,9 @@ def jaro(left: pd.Series, right: pd.Series) -> pd.Series:
         out[block] = jaro_block(left.iloc[block].tolist(), right.iloc[block].tolist())
         start = stop
     return pd.Series(out)
+
+
+jaro = pandas_udf(_score, DoubleType())
+# For a score that is filtered on as well as kept: Catalyst copies a
+# deterministic call into the filter and would score every pair twice.
+jaro_once = pandas_udf(_score, DoubleType()).asNondeterministic()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.missing import as_col, is_missing, ratio
 from ..functions.numbers import bin_index
 from ..session import checkpointed
+from .joins import small
 from .projection import numeric_columns
 
 
@@ -142,7 +143,7 @@ def histogram_2d(df: DataFrame, facet: str, x: str, y: str, bins: tuple[int, int
     spans = rows.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in (x, y) for f in (F.min, F.max)])
     edges = {c: (spans.select(f"{c}_min").scalar(), spans.select(f"{c}_max").scalar()) for c in (x, y)}
     if free_x:
-        own = rows.groupBy(F.col(facet).alias("_facet")).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
+        own = small(rows.groupBy(F.col(facet).alias("_facet")).agg(F.min(x).alias("_low"), F.max(x).alias("_high")))
         rows = rows.join(own, F.col(facet).eqNullSafe(F.col("_facet")))
         edges[x] = F.col("_low"), F.col("_high")
 
@@ -155,17 +156,27 @@ def histogram_2d(df: DataFrame, facet: str, x: str, y: str, bins: tuple[int, int
     return rows.groupBy(*keys).agg((F.count("*") if count is None else F.sum(count)).alias("n"))
 
 
+def _value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """How often each value occurs in each group, as ``_v`` and ``_n``."""
+    return df.where(~is_missing(value)).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+
+
 def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per group, however large a group is.
+    """Exact interpolated quantiles per group, however large a group is."""
+    return _quantiles(_ranged(_value_counts(df, groups, value), groups), groups, probs)
+
+
+def _ranged(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Value counts range-partitioned by (group, value), with the partition kept as ``_part``."""
+    return checkpointed(counts.repartitionByRange(*groups, "_v").withColumn("_part", F.spark_partition_id()))
+
+
+def _quantiles(ranged: DataFrame, groups: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles from ranged value counts.
 
-    Values are counted first, then range-partitioned by (group, value) and kept.
     Running counts inside each partition plus the totals of earlier partitions
     give every value its ranks, so no group has to fit one task.
     """
-    counts = df.where(~is_missing(value)).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    ranged = checkpointed(
-        counts.repartitionByRange(*groups, "_v").withColumn("_part", F.spark_partition_id())
-    )
     parts = ranged.groupBy(*groups, "_part").agg(F.sum("_n").alias("_total"))
     every = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     parts = parts.select(
@@ -194,16 +205,19 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[s
 
 
 def five_numbers(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Box-plot numbers: quartiles, whiskers within 1.5 inter-quartile ranges, outlier count."""
-    quartiles = quantiles(df, groups, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    keyed = quartiles.withColumnsRenamed({g: f"_g_{g}" for g in groups})
+    """Box-plot numbers: quartiles, whiskers within 1.5 inter-quartile ranges, outlier count.
+
+    Whiskers and outliers come from the value counts, which are far fewer than the rows.
+    """
+    ranged = _ranged(_value_counts(df, groups, value), groups)
+    quartiles = _quantiles(ranged, groups, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    keyed = small(quartiles.withColumnsRenamed({g: f"_g_{g}" for g in groups}))
     same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    v = F.col(value)
+    v = F.col("_v")
     inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        df.where(~is_missing(v))
-        .join(F.broadcast(keyed) if not groups else keyed, same)
+        ranged.join(keyed, same)
         .groupBy(*groups)
         .agg(
             F.min(F.when(inside, v)).alias("whisker_low"),
@@ -211,7 +225,7 @@ def five_numbers(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
             F.first("q2").alias("median"),
             F.first("q3").alias("q3"),
             F.max(F.when(inside, v)).alias("whisker_high"),
-            F.count_if(~inside).alias("outliers"),
+            F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers"),
         )
     )
 

@@ -10,21 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_col
-from ..functions.similarity import jaro
+from ..functions.similarity import jaro_once
+from ..session import checkpointed
 
 _RIGHT = "_r_"
+BROADCAST_ROWS = 100_000
 
 
 def _all(conditions: Sequence[Column]) -> Column:
     return reduce(and_, conditions)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Keep a derived table and mark it for broadcast if it has few rows.
+
+    Spark cannot see that an aggregate is small and would shuffle the large side
+    of a join with it. The table is checkpointed, counted, and broadcast only
+    below the limit; a larger one is left to an ordinary join.
+    """
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 def join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str] | dict[str, str],
     how: str = "left",
     null_matches: bool = True,
+    few: bool = False,
     suffixes: tuple[str, str] = ("_x", "_y"),
 ) -> DataFrame:
     """Equi-join that keeps the left keys and suffixes other shared names.
@@ -32,22 +46,35 @@ def join(
     ``keys`` are shared names or a left-to-right mapping. NULL keys match each
     other unless ``null_matches`` is off. Catalyst and AQE choose the strategy
     from measured sizes, and split skewed keys.
+
+    AQE cannot split the right side of an outer join, so a left join runs as an
+    inner join, which it can, plus the left rows without a match. ``few`` says
+    that the right side has only few rows per key and needs no splitting.
     """
     pairs = dict(keys) if isinstance(keys, dict) else {k: k for k in keys}
-    semi = how in ("left_semi", "left_anti")
-    right = right.select(list(pairs.values()) if semi else right.columns)
+    one_sided = how in ("left_semi", "left_anti")
+    if one_sided:
+        # One row per key: a key that fills the right side must not fill a task.
+        right = right.select(*pairs.values()).distinct()
     right_keys = {rk: f"{_RIGHT}{rk}" for rk in pairs.values()}
     right = right.withColumnsRenamed(right_keys)
-    same = [
-        F.col(lk).eqNullSafe(F.col(right_keys[rk])) if null_matches else F.col(lk) == F.col(right_keys[rk])
-        for lk, rk in pairs.items()
-    ]
-    if semi:
-        return left.join(right, _all(same), how)
+    same = _all(
+        [
+            F.col(lk).eqNullSafe(F.col(right_keys[rk])) if null_matches else F.col(lk) == F.col(right_keys[rk])
+            for lk, rk in pairs.items()
+        ]
+    )
+    if one_sided:
+        return left.join(right, same, how)
     clash = [c for c in left.columns if c in right.columns and c not in pairs]
-    left = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
-    right = right.withColumnsRenamed({c: c + suffixes[1] for c in clash})
-    return left.join(right, _all(same), how).drop(*right_keys.values())
+    if clash:
+        left = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
+        right = right.withColumnsRenamed({c: c + suffixes[1] for c in clash})
+    if how == "left" and not few:
+        found = left.join(right, same, "inner").drop(*right_keys.values())
+        absent = left.join(right.select(*right_keys.values()).distinct(), same, "left_anti")
+        return found.unionByName(absent, allowMissingColumns=True)
+    return left.join(right, same, how).drop(*right_keys.values())
 
 
 def semi(left: DataFrame, right: DataFrame, keys, null_matches: bool = True) -> DataFrame:
@@ -64,7 +91,7 @@ def lookup_first(df: DataFrame, dim: DataFrame, key: dict[str, str], value: str,
     """Left join that takes the first match only, by ``order`` in the lookup table."""
     (left_key, dim_key), = key.items()
     first = dim.groupBy(dim_key).agg(F.min_by(value, order).alias(value))
-    return join(df, first, {left_key: dim_key}, "left")
+    return join(df, small(first), {left_key: dim_key}, "left", few=True)
 
 
 def at_least(df: DataFrame, limits: DataFrame, keys: Sequence[str], value: Column | str, limit: str) -> DataFrame:
@@ -72,7 +99,7 @@ def at_least(df: DataFrame, limits: DataFrame, keys: Sequence[str], value: Colum
 
     ``limits`` holds one row per key, so the join cannot multiply rows.
     """
-    return join(df, limits, keys, "inner").where(as_col(value) >= F.col(limit))
+    return join(df, small(limits), keys, "inner").where(as_col(value) >= F.col(limit))
 
 
 def cooccurrence(members: DataFrame, anchors: DataFrame, container: str, item: str, labels: Sequence[str]) -> DataFrame:
@@ -81,10 +108,10 @@ def cooccurrence(members: DataFrame, anchors: DataFrame, container: str, item: s
     A container that holds an anchor twice, or two anchors, counts twice. The
     count is carried as a weight per container, so no pair of items is emitted.
     """
-    weights = semi(members, anchors.select(item).distinct(), [item]).groupBy(container).agg(F.count("*").alias("_weight"))
-    others = anti(members, anchors.select(item).distinct(), [item])
-    partial = join(others.groupBy(container, *labels).agg(F.count("*").alias("_n")), weights, [container], "inner")
-    return partial.groupBy(*labels).agg(F.sum(F.col("_n") * F.col("_weight")).alias("n"))
+    ids = small(anchors.select(item).distinct())
+    weights = small(semi(members, ids, [item]).groupBy(container).agg(F.count("*").alias("_weight")))
+    others = join(anti(members, ids, [item]).select(container, *labels), weights, [container], "inner")
+    return others.groupBy(*labels).agg(F.sum("_weight").alias("n"))
 
 
 def _half_band(c: Column, width: float) -> Column:
@@ -117,17 +144,18 @@ def semi_band(df: DataFrame, value: str, anchors: DataFrame, anchor: str, width:
     )
     x = F.col(value).cast("double")
     near = F.col("_inside") | (F.abs(x - F.col("_under")) <= width) | (F.abs(x - F.col("_over")) <= width)
+    summary = small(summary)
     return df.join(summary, (_half_band(x, width) == F.col("_bucket")) & F.coalesce(near, F.lit(False)), "left_semi")
 
 
 def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, width: float) -> DataFrame:
     """All pairs whose values differ by at most ``width``.
 
-    Both sides meet in buckets of that width: the right side is copied to the
-    neighbouring buckets, the exact difference is checked afterwards.
+    Both sides meet in buckets of that width: the right side, the smaller one, is
+    copied to the neighbouring buckets, the exact difference is checked afterwards.
     """
     bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    near = right.withColumn("_bucket", F.explode(F.array(*[bucket(right_value) + d for d in (-2, -1, 0, 1, 2)])))
+    near = small(right).withColumn("_bucket", F.explode(F.array(*[bucket(right_value) + d for d in (-2, -1, 0, 1, 2)])))
     pairs = left.withColumn("_band", bucket(left_value)).join(near, F.col("_band") == F.col("_bucket"))
     return pairs.where(F.abs(F.col(left_value) - F.col(right_value)) <= width).drop("_band", "_bucket")
 
@@ -176,7 +204,10 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, max_dist: float, salts: int =
     def texts(df: DataFrame, side: str) -> DataFrame:
         one = df.select(F.col(df.columns[0]).alias(f"{side}_text")).where(F.col(f"{side}_text").isNotNull()).distinct()
         tokens = _letters(F.col(f"{side}_text"))
-        return one.select("*", tokens.alias(f"{side}_tokens"), F.size(tokens).alias(f"{side}_len"))
+        # Few bytes become many pairs: without a fixed number of partitions AQE
+        # would merge them into one task.
+        spread = one.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"{side}_text")
+        return spread.select("*", tokens.alias(f"{side}_tokens"), F.size(tokens).alias(f"{side}_len"))
 
     a, b = texts(left, "left"), texts(right, "right")
     lengths_a = a.select(F.col("left_len").alias("_la")).distinct()
@@ -199,7 +230,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, max_dist: float, salts: int =
     first_shared = F.try_element_at(F.array_intersect("left_prefix", "right_prefix"), F.lit(1))
     shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
     candidates = met.where((F.col("_token") == first_shared) & (shared >= F.col("_need"))).select("left_text", "right_text")
-    scored = candidates.withColumn("similarity", jaro("left_text", "right_text"))
+    scored = candidates.withColumn("similarity", jaro_once("left_text", "right_text"))
     return scored.where(F.round("similarity", 9) >= F.lit(round(similarity, 9)))
 
 

@@ -17,9 +17,12 @@ def rectangle(df: DataFrame, outer: str, parent: Sequence[str], inner: str, posi
     Parent fields and the 1-based position are kept; parents whose inner array
     is missing or empty, and NULL elements, give no row.
     """
-    parents = df.select(F.explode(outer).alias("_p"))
+    # The outer forms keep Catalyst from evaluating the arrays once more in filters.
+    parents = df.select(F.explode_outer(outer).alias("_p"))
     present = F.filter(F.col(f"_p.{inner}"), lambda x: x.isNotNull())
-    items = parents.select(*[F.col(f"_p.{c}").alias(c) for c in parent], F.posexplode(present).alias("_pos", "_item"))
+    # The array gets a column of its own, so that it is not copied into every row it gives.
+    arrays = parents.select(*[F.col(f"_p.{c}").alias(c) for c in parent], present.alias("_items"))
+    items = arrays.select(*parent, F.posexplode_outer("_items").alias("_pos", "_item")).where(F.col("_pos").isNotNull())
     return items.select(*parent, (F.col("_pos") + 1).alias(position), "_item.*")
 
 

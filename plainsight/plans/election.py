@@ -55,8 +55,7 @@ def results(pages: DataFrame, columns: Mapping[str, str], subheader_rows: int =
     Pages without a county table give no rows.
     """
     picked = html.with_clean_header(html.pick_table(html.html_tables("page"), COUNTY_HEADINGS))
-    found = pages.select("state", picked.alias("tbl")).where(F.col("tbl").isNotNull())
-    rows = html.table_rows(found, "tbl", dict(columns))
+    rows = html.table_rows(pages.select("state", picked.alias("tbl")), "tbl", dict(columns))
     rows = rows.where(F.col("county").isNotNull() & (F.col("row_no") > subheader_rows))
     return rows.select("county", "state", *VOTES)
 

@@ -110,7 +110,7 @@ def hours_against_overtime(pay: DataFrame) -> DataFrame:
     )
     regular = R.top_n(means.select("agency_name", "mean_regular"), 1, M.desc("mean_regular"), F.asc("agency_name"))
     overtime = R.top_n(means.select("agency_name", "mean_overtime"), 1, M.desc("mean_overtime"), F.asc("agency_name"))
-    return J.join(regular, overtime, ["agency_name"])
+    return J.join(regular, overtime, ["agency_name"], few=True)
 
 
 def outside(pay: DataFrame, city: Sequence[str] = CITY) -> DataFrame:

@@ -24,6 +24,7 @@ from ..operators import nested as X
 from ..operators import ranking as R
 from ..operators.reshape import stack
 from ..sources.delimited import read_csv
+from ..session import checkpointed
 from ..sources.documents import PLAYLIST_DOCUMENT, read_documents
 
 # The published songs table and the analysis' settings.
@@ -44,7 +45,7 @@ def songs(raw: DataFrame) -> DataFrame:
 
 
 def load_songs(spark: SparkSession, path: str) -> DataFrame:
-    return songs(read_csv(spark, path, SONG_SCHEMA, multi_line=True))
+    return songs(read_csv(spark, path, SONG_SCHEMA))
 
 
 def plays(docs: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def length_histogram(s: DataFrame, p: DataFrame, width: float = 0.6) -> DataFram
     return A.histogram_width(lengths(s, p), "track_length", width, 0, 10)
 
 
-# -- songs like the anchors -------------------------------------------------
+# -- songs like the anchors; ``titles`` comes from ``titled`` -------------------------------------------------
 
 
 def titled(s: DataFrame, p: DataFrame) -> DataFrame:
@@ -181,8 +182,9 @@ def titled(s: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def anchors(s: DataFrame, p: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The anchor songs. They are kept, since every search reads them several times."""
     rows = titled(s, p.where(F.col("track_name").isin(list(names))))
-    return rows.select("track_id", "track_name", "artist_name", *FEATURES).distinct()
+    return checkpointed(rows.select("track_id", "track_name", "artist_name", *FEATURES).distinct())
 
 
 def cooccurring(p: DataFrame, a: DataFrame, n: int = 20) -> DataFrame:
@@ -191,33 +193,33 @@ def cooccurring(p: DataFrame, a: DataFrame, n: int = 20) -> DataFrame:
     return R.top_n_ties(counts, "n", n)
 
 
-def same_key_tempo(s: DataFrame, p: DataFrame, a: DataFrame, width: float = 5.0, n: int = 15) -> DataFrame:
+def same_key_tempo(titles: DataFrame, a: DataFrame, width: float = 5.0, n: int = 15) -> DataFrame:
     """Tracks in the key of some anchor and within a tempo band of some anchor."""
-    near = J.semi_band(J.semi(s, a, ["key"]), "tempo", a, "tempo", width)
-    rows = titled(near, p).select("track_id", "track_name", "artist_name", "tempo", "key").distinct()
+    near = J.semi_band(J.semi(titles, J.small(a.select("key").distinct()), ["key"]), "tempo", a, "tempo", width)
+    rows = near.select("track_id", "track_name", "artist_name", "tempo", "key").distinct()
     return R.top_n_ties(rows, "tempo", n)
 
 
-def same_artist(s: DataFrame, p: DataFrame, a: DataFrame) -> DataFrame:
-    theirs = J.semi(p, a, ["artist_name"])
-    return titled(s, theirs).select("track_id", "track_name", "artist_name").distinct()
+def same_artist(titles: DataFrame, a: DataFrame) -> DataFrame:
+    theirs = J.semi(titles, J.small(a.select("artist_name").distinct()), ["artist_name"])
+    return theirs.select("track_id", "track_name", "artist_name").distinct()
 
 
-def _within(df: DataFrame, a: DataFrame, feature: str, margin: float) -> Column:
+def _within(a: DataFrame, feature: str, margin: float) -> Column:
     edges = a.agg((F.min(feature) - margin).alias("lo"), (F.max(feature) + margin).alias("hi"))
     return (F.col(feature) >= edges.select("lo").scalar()) & (F.col(feature) <= edges.select("hi").scalar())
 
 
-def same_vibe(s: DataFrame, p: DataFrame, a: DataFrame, margin: float = 0.1) -> DataFrame:
+def same_vibe(titles: DataFrame, a: DataFrame, margin: float = 0.1) -> DataFrame:
     """Tracks of an anchor's year, close to the anchors in two features."""
     years = a.agg(F.collect_set("year")).scalar()
-    near = s.where(X.contains(years, "year") & _within(s, a, "acousticness", margin) & _within(s, a, "danceability", margin))
-    return titled(near, p).select("track_id", "track_name", "artist_name", "year").distinct()
+    near = titles.where(X.contains(years, "year") & _within(a, "acousticness", margin) & _within(a, "danceability", margin))
+    return near.select("track_id", "track_name", "artist_name", "year").distinct()
 
 
-def same_mood(s: DataFrame, p: DataFrame, a: DataFrame, margin: float = 0.001) -> DataFrame:
-    near = s.where(_within(s, a, "valence", margin))
-    return titled(near, p).select("track_id", "track_name", "artist_name", "valence").distinct()
+def same_mood(titles: DataFrame, a: DataFrame, margin: float = 0.001) -> DataFrame:
+    near = titles.where(_within(a, "valence", margin))
+    return near.select("track_id", "track_name", "artist_name", "valence").distinct()
 
 
 # -- the final list ---------------------------------------------------------
@@ -231,10 +233,11 @@ def final_playlist(s: DataFrame, p: DataFrame, a: DataFrame, quota: dict[str, in
     so at most one of them stays.
     """
     who = ["track_id", "track_name", "artist_name"]
-    pool = stack(cooccurring(p, a).drop("n"), *[f.select(who) for f in (same_key_tempo(s, p, a), same_vibe(s, p, a), same_mood(s, p, a))])
+    titles = checkpointed(titled(s, p))
+    pool = stack(cooccurring(p, a).drop("n"), *[f.select(who) for f in (same_key_tempo(titles, a), same_vibe(titles, a), same_mood(titles, a))])
     pool = J.anti(pool.select(who), a, ["artist_name"]).distinct()
     rated = ["popularity", "valence", "energy", "danceability"]
-    features = titled(s, p).select("track_name", "artist_name", *rated).distinct()
+    features = titles.select("track_name", "artist_name", *rated).distinct()
     found = J.join(pool, features, ["track_name", "artist_name"], "inner").distinct()
     found = found.withColumn("label", if_else(F.col("popularity") >= POPULAR_FROM, "Popular", "Not Popular"))
     order = [M.asc(c) for c in ("track_name", "artist_name", "track_id", *rated)]

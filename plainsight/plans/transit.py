@@ -44,15 +44,8 @@ AGENCY_SIZE = (500_000, 20_000_000)
 def profiles(pages: DataFrame) -> DataFrame:
     """``(state, abbreviation, page)`` rows to one profile per state, from each page's first table."""
     found = pages.select("state", "abbreviation", html.first_table(html.html_tables("page")).alias("tbl"))
-    table = F.col("tbl")
-    rows = found.select("state", "abbreviation", "tbl", F.explode("tbl.cells").alias("_row"))
-    cells = rows.select(
-        "state",
-        "abbreviation",
-        F.lower(html.cell(table, F.col("_row"), "Item")).alias("item"),
-        html.cell(table, F.col("_row"), "Value").alias("value"),
-        F.coalesce(html.cell(table, F.col("_row"), "Rank"), html.cell(table, F.col("_row"), "U.S. rank")).alias("rank"),
-    )
+    rows = html.table_rows(found, "tbl", {"Item": "item", "Value": "value", "Rank": "rank", "U.S. rank": "us_rank"})
+    cells = rows.withColumn("item", F.lower("item")).withColumn("rank", F.coalesce("rank", "us_rank"))
     value = F.col("value")
     return P.record_of(
         cells,
@@ -110,7 +103,7 @@ def rarest_source(shown: DataFrame) -> DataFrame:
     stats = shown.groupBy("primary_source").agg(F.count("*").alias("n"), mean.alias("price_mwh"))
     first = R.top_n(stats, 1, F.asc("n"), F.asc("primary_source"))
     states = A.group_mode(shown, ["primary_source"], "state", "state").drop("n")
-    rows = J.join(first, states, ["primary_source"])
+    rows = J.join(first, states, ["primary_source"], few=True)
     return rows.select("primary_source", text.dollars("price_mwh").alias("price_mwh"), "state")
 
 
@@ -189,7 +182,7 @@ def merge(svc: DataFrame, fuel: DataFrame, sep: DataFrame) -> DataFrame:
     """Service, left-joined to fuel use per mode and to the state's electricity."""
     fuel = fuel.drop("agency")
     power = sep.select(F.col("abbreviation").alias("state"), "co2_mwh")
-    rows = J.join(J.join(svc, fuel, ["ntd_id"]), power, ["state"])
+    rows = J.join(J.join(svc, fuel, ["ntd_id"], few=True), power, ["state"], few=True)
     return rows.select("agency", "mode", "ntd_id", "city", "state", "upt", "miles", *FUELS, "co2_mwh")
 
 

@@ -24,6 +24,8 @@ def local_session(cpus: int | str = "*", app: str = "plainsight") -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
+        # Call sites of every column cost several calls to the JVM each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in SQL_DEFAULTS.items():
         builder = builder.config(key, value)

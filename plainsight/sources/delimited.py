@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_OPTIONS = {"header": True, "escape": '"', "multiLine": False, "nullValue": "NA", "emptyValue": '""'}
+_OPTIONS = {"header": True, "escape": '"', "multiLine": False, "nullValue": "NA"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:

@@ -14,32 +14,20 @@ PLAYLIST_DOCUMENT = (
 )
 
 
-def _with_corrupt(schema: str) -> str:
-    return f"{schema}, {CORRUPT} string"
-
-
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per JSON file, each file one document over many lines."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good records and quarantined lines of newline-delimited JSON files.
-
-    Lines are read as text and parsed in place, so that a query for either side
-    alone keeps working when it needs no other column.
-    """
-    return split_lines(spark.read.text(path), "value", schema)
-
-
-def split_lines(df: DataFrame, col: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Parse a text column as JSON: (good rows with the fields, bad rows as they came)."""
+    """Good records and quarantined lines (``value``) of newline-delimited JSON files."""
+    full = f"{schema}, {CORRUPT} string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = df.withColumn("_doc", F.from_json(col, _with_corrupt(schema), options))
-    bad = F.col("_doc").isNull() | F.col(f"_doc.{CORRUPT}").isNotNull()
-    kept = [c for c in df.columns if c != col]
-    good = parsed.where(~bad).select(*kept, "_doc.*").drop(CORRUPT)
-    return good, parsed.where(bad).select(*kept, col)
+    records = spark.read.schema(full).options(**options).json(path)
+    good = records.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", full, options)
+    return good, lines.where(parsed.isNull() | parsed[CORRUPT].isNotNull())
 
 
 def parse_documents(df: DataFrame, col: str, schema: str) -> DataFrame:

@@ -107,12 +107,15 @@ def _tables_of(page: str | None) -> list[dict] | None:
     return out
 
 
-@F.arrow_udf(TABLES)
-def html_tables(pages: pa.Array) -> pa.Array:
+def _parse(pages: pa.Array) -> pa.Array:
     """All tables of a page; ragged rows are filled with NULL, the first row is the header."""
     return pa.array([_tables_of(p) for p in pages.to_pylist()], type=_ARROW)
 
 
+# Catalyst copies deterministic calls into filters; this one must run once per page.
+html_tables = F.arrow_udf(_parse, TABLES).asNondeterministic()
+
+
 def first_table(tables: Column | str) -> Column:
     return F.try_element_at(as_col(tables), F.lit(1))
 
@@ -132,16 +135,17 @@ def with_clean_header(table: Column | str) -> Column:
     return F.when(t.isNotNull(), t.withField("header", F.transform(t["header"], clean)))
 
 
-def cell(table: Column | str, row: Column, name: str) -> Column:
+def cell(header: Column | str, row: Column | str, name: str) -> Column:
     """The cell of a row array under a named header; NULL if there is none."""
-    header = as_col(table)["header"]
-    return F.get(row, F.nullif(F.array_position(header, F.lit(name)), F.lit(0)).cast("int") - 1)
+    return F.get(as_col(row), F.nullif(F.array_position(as_col(header), F.lit(name)), F.lit(0)).cast("int") - 1)
 
 
 def table_rows(df: DataFrame, table: str, columns: dict[str, str], row_no: str = "row_no") -> DataFrame:
     """One row per body row of a table: its 1-based number and the cells, as header to output name."""
     kept = [c for c in df.columns if c != table]
-    rows = df.select(*kept, table, F.posexplode(f"{table}.cells").alias("_pos", "_row"))
-    return rows.select(
-        *kept, (F.col("_pos") + 1).alias(row_no), *[cell(table, F.col("_row"), h).alias(n) for h, n in columns.items()]
+    parts = df.select(*kept, F.col(f"{table}.header").alias("_header"), F.col(f"{table}.cells").alias("_cells"))
+    # The outer form keeps Catalyst from evaluating the array once more in a filter.
+    rows = parts.select(*kept, "_header", F.posexplode_outer("_cells").alias("_pos", "_row"))
+    return rows.where(F.col("_pos").isNotNull()).select(
+        *kept, (F.col("_pos") + 1).alias(row_no), *[cell("_header", "_row", h).alias(n) for h, n in columns.items()]
     )

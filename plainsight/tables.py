@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+# Schemas seen so far, by application and path, so that each footer is read once.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 class Tables:
@@ -15,4 +19,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        table = self.spark.read.schema(_SCHEMAS[key]).parquet(path)
+        setattr(self, name, table)
+        return table
