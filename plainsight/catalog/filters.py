@@ -34,7 +34,7 @@ def filter_ne_chain(t):
 
 @query("filter_in", "select c_custkey, c_mktsegment from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
 def filter_in(t):
-    return t.customer.where(M.is_in("c_mktsegment", ["BUILDING", "MACHINERY"])).select("c_custkey", "c_mktsegment")
+    return t.customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
 
 
 @query(

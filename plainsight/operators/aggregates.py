@@ -113,24 +113,19 @@ def histogram_width(df: DataFrame, value: str, width: float, low: float | None =
     return rows.groupBy(bin_index(v, width, boundary).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _span(df: DataFrame, value: str, bins: int, groups: Sequence[str] = ()) -> DataFrame:
-    v = F.when(~is_missing(value), F.col(value))
-    return df.groupBy(*groups).agg(F.min(v).alias(f"{value}_min"), ((F.max(v) - F.min(v)) / (bins - 1)).alias(f"{value}_width"))
+def with_stats(df: DataFrame, name: str, *stats: Column) -> DataFrame:
+    """Attach aggregates of the whole table to every row, as one struct read through a single scalar."""
+    return df.withColumn(name, df.agg(F.struct(*stats)).scalar())
 
 
 def histogram_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Counts for a fixed number of bins centred on minimum, ..., maximum."""
-    span = _span(df, value, bins)
-    low = span.select(f"{value}_min").scalar()
-    width = span.select(f"{value}_width").scalar()
     v = F.col(value)
-    index = F.when(width == 0, F.lit(0)).otherwise(F.round((v - low) / F.nullif(width, F.lit(0.0)), 9))
+    low, high = F.col("_s.low"), F.col("_s.high")
+    rows = with_stats(df.where(~is_missing(v)), "_s", F.min(v).alias("low"), F.max(v).alias("high"))
+    position = F.coalesce(F.round(F.try_divide(v - low, (high - low) / (bins - 1)), 9), F.lit(0.0))
     # A value on the edge of two bins goes to the lower one.
-    return (
-        df.where(~is_missing(v))
-        .groupBy(F.ceil(index - 0.5).cast("long").alias("bin"))
-        .agg(F.count("*").alias("n"))
-    )
+    return rows.withColumn("bin", F.ceil(position - 0.5).cast("long")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 def histogram_2d(df: DataFrame, facet: str, x: str, y: str, bins: tuple[int, int], free_x: bool = False, count: Column | None = None) -> DataFrame:
@@ -139,21 +134,21 @@ def histogram_2d(df: DataFrame, facet: str, x: str, y: str, bins: tuple[int, int
     ``free_x`` lets x span its range inside each facet. ``count`` sums a number
     of rows each row stands for.
     """
-    rows = df.where(~is_missing(x) & ~is_missing(y))
-    spans = rows.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in (x, y) for f in (F.min, F.max)])
-    edges = {c: (spans.select(f"{c}_min").scalar(), spans.select(f"{c}_max").scalar()) for c in (x, y)}
+    edges = [f(c).alias(f"{c}_{f.__name__}") for c in (x, y) for f in (F.min, F.max)]
+    rows = with_stats(df.where(~is_missing(x) & ~is_missing(y)), "_s", *edges)
+    span = {c: (F.col(f"_s.{c}_min"), F.col(f"_s.{c}_max")) for c in (x, y)}
     if free_x:
         own = small(rows.groupBy(F.col(facet).alias("_facet")).agg(F.min(x).alias("_low"), F.max(x).alias("_high")))
         rows = rows.join(own, F.col(facet).eqNullSafe(F.col("_facet")))
-        edges[x] = F.col("_low"), F.col("_high")
+        span[x] = F.col("_low"), F.col("_high")
 
     def cell(c: str, n: int) -> Column:
-        low, high = edges[c]
+        low, high = span[c]
         share = F.coalesce(F.try_divide(F.col(c) - low, high - low), F.lit(0.0))
         return F.greatest(F.ceil(F.round(share * n, 9)), F.lit(1)).cast("long")
 
-    keys = [F.col(facet), cell(x, bins[0]).alias("x_bin"), cell(y, bins[1]).alias("y_bin")]
-    return rows.groupBy(*keys).agg((F.count("*") if count is None else F.sum(count)).alias("n"))
+    cells = rows.withColumns({"x_bin": cell(x, bins[0]), "y_bin": cell(y, bins[1])})
+    return cells.groupBy(facet, "x_bin", "y_bin").agg((F.count("*") if count is None else F.sum(count)).alias("n"))
 
 
 def _value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:

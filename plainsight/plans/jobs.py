@@ -14,6 +14,7 @@ from ..functions.text import lower_trim, percent_to_ratio, title_case
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import ranking as R
+from ..session import checkpointed
 from ..sources.delimited import read_csv
 
 # The published columns, the names used here, the match distance.
@@ -70,7 +71,7 @@ def first_matches(exposure: DataFrame, outlook: DataFrame, max_dist: float = MAX
     """One row per title: its first row, beside the first of its similar titles.
 
     Only the first similar title of each pair list is joined back, so the full
-    join is never built.
+    join is never built. The result is kept, as every question starts from it.
     """
     def firsts(df: DataFrame) -> DataFrame:
         order = [M.asc(c) for c in df.columns if c != "job_title"]
@@ -81,7 +82,7 @@ def first_matches(exposure: DataFrame, outlook: DataFrame, max_dist: float = MAX
     left = J.join(firsts(exposure), best, {"job_title": "left_text"}, "inner")
     right = firsts(outlook).withColumnRenamed("job_title", "other_title")
     rows = J.join(left, right, {"right_text": "other_title"}, "inner").drop("right_text")
-    return rows.withColumn("job_title", title_case("job_title"))
+    return checkpointed(rows.withColumn("job_title", title_case("job_title")))
 
 
 def rated(jobs: DataFrame) -> DataFrame:
@@ -139,4 +140,5 @@ def ratio_by_tasks_grid(exposure: DataFrame, outlook: DataFrame, bins: tuple[int
     right = right.groupBy("job_title", "education_level").agg(F.count("*").alias("_right"))
     pairs = J.fuzzy_join(left, right, "job_title", "job_title", max_dist)
     counts = pairs.groupBy("education_level", "tasks", "ai_impact_ratio").agg(F.sum(F.col("_left") * F.col("_right")).alias("_n"))
+    counts = checkpointed(counts)
     return A.histogram_2d(counts, "education_level", "tasks", "ai_impact_ratio", bins, free_x=True, count=F.col("_n"))
