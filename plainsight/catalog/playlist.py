@@ -75,14 +75,11 @@ def _both(t):
     return _songs(t), B.plays(t)
 
 
-def _all(t):
+def _searched(t):
+    """Titles, plays and anchors."""
     s, p = _both(t)
-    return s, p, P.anchors(s, p, ANCHORS)
-
-
-def _titles(t):
-    s, p, a = _all(t)
-    return P.titled(s, p), a
+    titles = P.titled(s, p)
+    return titles, p, P.anchors(titles, ANCHORS)
 
 
 @query("pl_songs", _SONGS + "select track_id, artist, year, tempo, key from songs")
@@ -215,18 +212,19 @@ def pl_length_hist(t):
 
 @query("pl_anchors", _ANCHORS + "select * from anchors")
 def pl_anchors(t):
-    return _all(t)[2]
+    return _searched(t)[2]
 
 
 @query("h1_cooccur", _ANCHORS + "select * from h1")
 def h1_cooccur(t):
-    _, p, a = _all(t)
+    _, p, a = _searched(t)
     return P.cooccurring(p, a)
 
 
 @query("h2_key_tempo", _ANCHORS + "select * from h2top")
 def h2_key_tempo(t):
-    return P.same_key_tempo(*_titles(t))
+    titles, _, a = _searched(t)
+    return P.same_key_tempo(titles, a)
 
 
 @query(
@@ -234,22 +232,25 @@ def h2_key_tempo(t):
     _ANCHORS + "select distinct track_id, track_name, artist_name from matched where artist_name in (select artist_name from anchors)",
 )
 def h3_same_artist(t):
-    return P.same_artist(*_titles(t))
+    titles, _, a = _searched(t)
+    return P.same_artist(titles, a)
 
 
 @query("h4_vibe", _ANCHORS + "select * from h4")
 def h4_vibe(t):
-    return P.same_vibe(*_titles(t))
+    titles, _, a = _searched(t)
+    return P.same_vibe(titles, a)
 
 
 @query("h5_valence", _ANCHORS + "select * from h5")
 def h5_valence(t):
-    return P.same_mood(*_titles(t))
+    titles, _, a = _searched(t)
+    return P.same_mood(titles, a)
 
 
 @query("pl_final", _FINAL + "select * from final")
 def pl_final(t):
-    return P.final_playlist(*_all(t))
+    return P.final_playlist(*_searched(t))
 
 
 @query(
@@ -261,5 +262,5 @@ def pl_final(t):
     """.replace(" as order ", ' as "order" '),
 )
 def pl_ordered(t):
-    rows = P.ordered(P.final_playlist(*_all(t)))
+    rows = P.ordered(P.final_playlist(*_searched(t)))
     return rows.select("track_id", "track_name", "valence", "energy", "order")

@@ -205,9 +205,9 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, max_dist: float, salts: int =
         one = df.select(F.col(df.columns[0]).alias(f"{side}_text")).where(F.col(f"{side}_text").isNotNull()).distinct()
         tokens = _letters(F.col(f"{side}_text"))
         # Few bytes become many pairs: without a fixed number of partitions AQE
-        # would merge them into one task.
+        # would merge them into one task. Kept, as lengths and signatures read them.
         spread = one.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"{side}_text")
-        return spread.select("*", tokens.alias(f"{side}_tokens"), F.size(tokens).alias(f"{side}_len"))
+        return checkpointed(spread.select("*", tokens.alias(f"{side}_tokens"), F.size(tokens).alias(f"{side}_len")))
 
     a, b = texts(left, "left"), texts(right, "right")
     lengths_a = a.select(F.col("left_len").alias("_la")).distinct()

@@ -176,15 +176,15 @@ def length_histogram(s: DataFrame, p: DataFrame, width: float = 0.6) -> DataFram
 
 
 def titled(s: DataFrame, p: DataFrame) -> DataFrame:
-    """Songs with each title and artist they have in playlists, once."""
+    """Songs with each title and artist they have in playlists, once. Kept, as all searches read it."""
     titles = p.select("track_id", "track_name", "artist_name").distinct()
-    return J.join(s, titles, ["track_id"], "inner")
+    return checkpointed(J.join(s, titles, ["track_id"], "inner"))
 
 
-def anchors(s: DataFrame, p: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The anchor songs. They are kept, since every search reads them several times."""
-    rows = titled(s, p.where(F.col("track_name").isin(list(names))))
-    return checkpointed(rows.select("track_id", "track_name", "artist_name", *FEATURES).distinct())
+def anchors(titles: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The anchor songs with their features."""
+    rows = titles.where(F.col("track_name").isin(list(names)))
+    return rows.select("track_id", "track_name", "artist_name", *FEATURES).distinct()
 
 
 def cooccurring(p: DataFrame, a: DataFrame, n: int = 20) -> DataFrame:
@@ -225,7 +225,7 @@ def same_mood(titles: DataFrame, a: DataFrame, margin: float = 0.001) -> DataFra
 # -- the final list ---------------------------------------------------------
 
 
-def final_playlist(s: DataFrame, p: DataFrame, a: DataFrame, quota: dict[str, int] = QUOTA) -> DataFrame:
+def final_playlist(titles: DataFrame, p: DataFrame, a: DataFrame, quota: dict[str, int] = QUOTA) -> DataFrame:
     """A quota of popular and other candidates, then the anchors, one row per track.
 
     Candidates come from co-occurrence, key and tempo, vibe and mood; songs of
@@ -233,7 +233,6 @@ def final_playlist(s: DataFrame, p: DataFrame, a: DataFrame, quota: dict[str, in
     so at most one of them stays.
     """
     who = ["track_id", "track_name", "artist_name"]
-    titles = checkpointed(titled(s, p))
     pool = stack(cooccurring(p, a).drop("n"), *[f.select(who) for f in (same_key_tempo(titles, a), same_vibe(titles, a), same_mood(titles, a))])
     pool = J.anti(pool.select(who), a, ["artist_name"]).distinct()
     rated = ["popularity", "valence", "energy", "danceability"]
