@@ -122,7 +122,7 @@ def pl_top_unmatched(t):
     """,
 )
 def pl_most_danceable(t):
-    return P.most_danceable(*_both(t))
+    return P.most_danceable(_songs(t), B.plays(t, lists=True))
 
 
 @query(
@@ -134,7 +134,7 @@ def pl_most_danceable(t):
     """,
 )
 def pl_longest(t):
-    return P.longest_playlist(B.plays(t)).withColumn("mean_ms", F.round("mean_ms", 4))
+    return P.longest_playlist(B.plays(t, lists=True)).withColumn("mean_ms", F.round("mean_ms", 4))
 
 
 @query(
@@ -145,7 +145,7 @@ def pl_longest(t):
     """,
 )
 def pl_most_followed(t):
-    return P.most_followed(B.plays(t))
+    return P.most_followed(B.plays(t, lists=True))
 
 
 @query(

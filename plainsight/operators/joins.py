@@ -29,7 +29,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     below the limit; a larger one is left to an ordinary join.
     """
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    return F.broadcast(kept) if kept.count() <= rows else kept
 
 
 def join(

@@ -25,10 +25,10 @@ def top_n_ties(df: DataFrame, value: Column | str, n: int, largest: bool = True)
     """
     v = as_col(value)
     best = df.select(v.alias("_v")).orderBy(desc("_v") if largest else asc("_v")).limit(n)
-    edge = best.agg((F.min("_v") if largest else F.max("_v")).alias("_edge"), F.count("_v").alias("_known"))
-    last, known = edge.select("_edge").scalar(), edge.select("_known").scalar()
-    inside = v >= last if largest else v <= last
-    return df.where(F.coalesce(inside, known < n))
+    last = F.min("_v") if largest else F.max("_v")
+    edge = best.agg(F.struct(last.alias("last"), F.count("_v").alias("known"))).scalar()
+    inside = v >= edge["last"] if largest else v <= edge["last"]
+    return df.where(F.coalesce(inside, edge["known"] < n))
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], n: int, *order: Column) -> DataFrame:

@@ -42,7 +42,9 @@ def payroll(t: Tables) -> DataFrame:
         .alias("pay_basis"),
         F.when(never, F.to_date(F.lit("9999-12-31"))).otherwise(F.to_date("l_shipdate")).alias("start_date"),
     )
-    return records.join(jobs, F.col("l_orderkey") == F.col("o_orderkey")).join(people, F.col("o_custkey") == F.col("c_custkey"))
+    # Orders meet customers first, so that line items are shuffled only once.
+    held = jobs.join(people, F.col("o_custkey") == F.col("c_custkey"))
+    return records.join(held, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 # Which fuel a part type stands for; the other fuels stay unused.
@@ -160,14 +162,19 @@ def songs_raw(t: Tables) -> DataFrame:
     )
 
 
-def plays(t: Tables) -> DataFrame:
-    """Orders as playlists of parts."""
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+def plays(t: Tables, lists: bool = False) -> DataFrame:
+    """Orders as playlists of parts; ``lists`` adds the columns that only orders hold."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    own = []
+    if lists:
+        rows = rows.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        own = [
+            F.concat(F.lit("List "), F.col("o_custkey")).alias("playlist_name"),
+            F.col("o_totalprice").alias("playlist_followers"),
+        ]
     return rows.select(
-        F.concat(F.lit("List "), F.col("o_custkey")).alias("playlist_name"),
-        F.col("o_orderkey").alias("playlist_id"),
-        F.col("o_totalprice").alias("playlist_followers"),
+        *own,
+        F.col("l_orderkey").alias("playlist_id"),
         F.col("l_linenumber").alias("playlist_position"),
         F.concat_ws(" ", "p_name", "p_type").alias("track_name"),
         F.col("l_partkey").cast("string").alias("track_id"),
