@@ -108,6 +108,6 @@ def head_ordered(t):
     return R.top_n(rows, 20, F.asc("p_name"), F.asc("p_brand"))
 
 
-@query("sample_n")
+@query("sample_n", "select o_orderkey, o_totalprice from orders order by md5('42|' || o_orderkey), o_orderkey limit 10")
 def sample_n(t):
     return R.sample_n(t.orders.select("o_orderkey", "o_totalprice"), 10, ["o_orderkey"])

@@ -154,7 +154,10 @@ def ntd_energy_clean(t):
     return _energy(t)
 
 
-@query("ntd_energy_sample")
+@query(
+    "ntd_energy_sample",
+    "with " + _ENERGY + f"select ntd_id, mode, agency, {', '.join(FUELS)} from energy order by md5('42|' || ntd_id || '|' || mode) limit 10",
+)
 def ntd_energy_sample(t):
     return sample_n(_energy(t), 10, ["ntd_id", "mode"])
 

@@ -87,4 +87,5 @@ def number_in_group(df: DataFrame, groups: Sequence[str], *order: Column, name:
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """A reproducible random sample of n rows, by the hash of a unique key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return df.orderBy(F.md5(text), *keys).limit(n)
