@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import as_col, is_missing, ratio
 from ..functions.numbers import bin_index
-from ..session import checkpointed
+from ..session import stored
 from .joins import small
 from .projection import numeric_columns
 
@@ -163,7 +163,7 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[s
 
 def _ranged(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Value counts range-partitioned by (group, value), with the partition kept as ``_part``."""
-    return checkpointed(counts.repartitionByRange(*groups, "_v").withColumn("_part", F.spark_partition_id()))
+    return stored(counts.repartitionByRange(*groups, "_v").withColumn("_part", F.spark_partition_id()), "ranged")
 
 
 def _quantiles(ranged: DataFrame, groups: Sequence[str], probs: Mapping[str, float]) -> DataFrame:

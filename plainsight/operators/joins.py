@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import as_col
 from ..functions.similarity import jaro_once
-from ..session import checkpointed
+from ..session import checkpointed, stored
 
 _RIGHT = "_r_"
 BROADCAST_ROWS = 100_000
@@ -161,23 +161,20 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
 
 
 def _letters(c: Column) -> Column:
-    """The letters of a text as unique tokens ``occurrence#letter``, rare ones first.
+    """The letters of a text as unique numbers, rare ones first.
 
-    Later occurrences are rarer than first ones, so they lead the order. An
-    empty text gets one token of its own, to meet other empty texts.
+    A number holds how often the letter occurred so far, and the letter. Later
+    occurrences are rarer than first ones, so they lead the order. An empty text
+    gets a number of its own, to meet other empty texts.
     """
-    chars = F.filter(F.split(c, ""), lambda ch: ch != "")
+    chars = F.split(c, "")
     numbered = F.transform(
         chars,
-        lambda ch, i: F.concat(
-            F.lpad(
-                F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda other: other == ch)).cast("string"), 6, "0"
-            ),
-            F.lit("#"),
-            ch,
-        ),
+        lambda ch, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda other: other == ch)).cast("long")
+        * F.lit(1 << 21)
+        + F.ascii(ch),
     )
-    return F.when(F.length(c) == 0, F.array(F.lit("empty"))).otherwise(F.sort_array(numbered, asc=False))
+    return F.when(F.length(c) == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sort_array(numbered, asc=False))
 
 
 def _shared_at_least(la: Column, lb: Column, similarity: float) -> Column:
@@ -207,30 +204,30 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, max_dist: float, salts: int =
         # Few bytes become many pairs: without a fixed number of partitions AQE
         # would merge them into one task. Kept, as lengths and signatures read them.
         spread = one.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"{side}_text")
-        return checkpointed(spread.select("*", tokens.alias(f"{side}_tokens"), F.size(tokens).alias(f"{side}_len")))
+        return stored(spread.select("*", tokens.alias(f"{side}_tokens"), F.size(tokens).alias(f"{side}_len")), "texts")
 
     a, b = texts(left, "left"), texts(right, "right")
-    lengths_a = a.select(F.col("left_len").alias("_la")).distinct()
-    lengths_b = b.select(F.col("right_len").alias("_lb")).distinct()
 
-    def signatures(df: DataFrame, side: str, own: str, other_lengths: DataFrame, other: str, salt: Column) -> DataFrame:
+    def signatures(df: DataFrame, side: str, own: str, other: str, partner: DataFrame, salt: Column) -> DataFrame:
         # One short array of the other side's lengths, read as a scalar.
-        lengths = other_lengths.agg(F.sort_array(F.collect_set(other)).alias("_l")).scalar()
-        own_len = F.col(f"{side}_len")
-        spread = df.withColumn(own, own_len).withColumn(other, F.explode(lengths))
+        other_len = "right_len" if side == "left" else "left_len"
+        lengths = partner.agg(F.collect_set(other_len)).scalar()
+        spread = df.withColumn(own, F.col(f"{side}_len")).withColumn(other, F.explode(lengths))
         need = _shared_at_least(F.col("_la"), F.col("_lb"), similarity)
         spread = spread.withColumn("_need", need).where((F.col("_need") <= F.col("_la")) & (F.col("_need") <= F.col("_lb")))
-        prefix = F.slice(F.col(f"{side}_tokens"), F.lit(1), own_len - F.col("_need") + 1)
-        spread = spread.withColumn(f"{side}_prefix", prefix).withColumn("_salt", salt)
-        return spread.withColumn("_token", F.explode(f"{side}_prefix"))
-
-    sig_a = signatures(a, "left", "_la", lengths_b, "_lb", F.pmod(F.xxhash64("left_text"), F.lit(salts)).cast("int"))
-    sig_b = signatures(b, "right", "_lb", lengths_a, "_la", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    met = sig_a.join(sig_b.drop("_need"), ["_la", "_lb", "_token", "_salt"])
-    first_shared = F.try_element_at(F.array_intersect("left_prefix", "right_prefix"), F.lit(1))
-    shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
-    candidates = met.where((F.col("_token") == first_shared) & (shared >= F.col("_need"))).select("left_text", "right_text")
-    scored = candidates.withColumn("similarity", jaro_once("left_text", "right_text"))
+        prefix = F.slice(F.col(f"{side}_tokens"), F.lit(1), F.col(own) - F.col("_need") + 1)
+        return spread.withColumn("_salt", salt).withColumn("_token", F.explode(prefix)).drop(f"{side}_len")
+
+    sig_a = signatures(a, "left", "_la", "_lb", b, F.pmod(F.xxhash64("left_text"), F.lit(salts)).cast("int"))
+    sig_b = signatures(b, "right", "_lb", "_la", a, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    # A merge join: signatures are many more than the texts whose size Spark knows.
+    met = sig_a.join(sig_b.drop("_need").hint("merge"), ["_la", "_lb", "_token", "_salt"])
+    # Both token lists are in one order, so the first common one is in both prefixes.
+    common = F.array_intersect("left_tokens", "right_tokens")
+    candidates = met.withColumn("_common", common).where(
+        (F.col("_token") == F.try_element_at("_common", F.lit(1))) & (F.size("_common") >= F.col("_need"))
+    )
+    scored = candidates.select("left_text", "right_text", jaro_once("left_text", "right_text").alias("similarity"))
     return scored.where(F.round("similarity", 9) >= F.lit(round(similarity, 9)))
 
 

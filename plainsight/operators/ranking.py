@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_col, asc, desc
-from ..session import checkpointed
+from ..session import stored
 
 
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -55,7 +55,7 @@ def number_rows(df: DataFrame, *order: Column, name: str = "row_no") -> DataFram
     number is its position plus the size of the partitions before it.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = checkpointed(placed.withColumn("_id", F.monotonically_increasing_id()))
+    placed = stored(placed.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part, position = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_size")

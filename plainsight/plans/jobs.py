@@ -14,7 +14,7 @@ from ..functions.text import lower_trim, percent_to_ratio, title_case
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import ranking as R
-from ..session import checkpointed
+from ..session import stored
 from ..sources.delimited import read_csv
 
 # The published columns, the names used here, the match distance.
@@ -82,7 +82,7 @@ def first_matches(exposure: DataFrame, outlook: DataFrame, max_dist: float = MAX
     left = J.join(firsts(exposure), best, {"job_title": "left_text"}, "inner")
     right = firsts(outlook).withColumnRenamed("job_title", "other_title")
     rows = J.join(left, right, {"right_text": "other_title"}, "inner").drop("right_text")
-    return checkpointed(rows.withColumn("job_title", title_case("job_title")))
+    return stored(rows.withColumn("job_title", title_case("job_title")), "jobs")
 
 
 def rated(jobs: DataFrame) -> DataFrame:
@@ -140,5 +140,5 @@ def ratio_by_tasks_grid(exposure: DataFrame, outlook: DataFrame, bins: tuple[int
     right = right.groupBy("job_title", "education_level").agg(F.count("*").alias("_right"))
     pairs = J.fuzzy_join(left, right, "job_title", "job_title", max_dist)
     counts = pairs.groupBy("education_level", "tasks", "ai_impact_ratio").agg(F.sum(F.col("_left") * F.col("_right")).alias("_n"))
-    counts = checkpointed(counts)
+    counts = stored(counts, "grid")
     return A.histogram_2d(counts, "education_level", "tasks", "ai_impact_ratio", bins, free_x=True, count=F.col("_n"))

@@ -24,7 +24,7 @@ from ..operators import nested as X
 from ..operators import ranking as R
 from ..operators.reshape import stack
 from ..sources.delimited import read_csv
-from ..session import checkpointed
+from ..session import stored
 from ..sources.documents import PLAYLIST_DOCUMENT, read_documents
 
 # The published songs table and the analysis' settings.
@@ -178,7 +178,7 @@ def length_histogram(s: DataFrame, p: DataFrame, width: float = 0.6) -> DataFram
 def titled(s: DataFrame, p: DataFrame) -> DataFrame:
     """Songs with each title and artist they have in playlists, once. Kept, as all searches read it."""
     titles = p.select("track_id", "track_name", "artist_name").distinct()
-    return checkpointed(J.join(s, titles, ["track_id"], "inner"))
+    return stored(J.join(s, titles, ["track_id"], "inner"), "titles")
 
 
 def anchors(titles: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -7,12 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Applied only where the session does not set them already.
+# Applied only where the session's configuration does not set them.
 SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 
@@ -24,6 +23,7 @@ def local_session(cpus: int | str = "*", app: str = "plainsight") -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
         # Call sites of every column cost several calls to the JVM each.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -67,8 +67,19 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back.
+
+    For tables that may be large: readers see only the columns they need, and
+    Spark knows the size.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
+    """Cut the lineage of a small table with a reliable checkpoint."""
     spark = df.sparkSession
     root = scratch_root(spark)
     if spark.sparkContext.getCheckpointDir() is None:

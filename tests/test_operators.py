@@ -83,7 +83,7 @@ def test_bands_against_pairs(spark, width):
 @pytest.mark.parametrize("max_dist", [0.1, 0.25, 0.4, 0.6])
 def test_fuzzy_pairs_against_all_pairs(spark, max_dist):
     r = random.Random(5)
-    word = lambda: "".join(r.choice("abcdefg ") for _ in range(r.randint(0, 11)))
+    word = lambda: "".join(r.choice("abcdefg é😀") for _ in range(r.randint(0, 11)))
     left = [word() for _ in range(70)] + ["", None, "aaaa", "banana"]
     right = [word() for _ in range(60)] + ["", None, "aaab", "ananab"]
     got = J.fuzzy_pairs(
