@@ -7,11 +7,11 @@ from ..plans import jobs as X
 from .registry import query
 
 _JOBS = """
-    with a0 as (select lower(p_name || ' ' || p_type) as job_title, max(p_size) as most, count(*) as n from part where p_size < 25 group by 1),
-    a as (select job_title, case when most <> 23 then most || '%' end as ai_impact, case when n <> 2 then n end as tasks from a0),
-    b0 as (select p_name as other, min(p_type) as low, max(p_type) as high, count(*) as n, max(p_size) as most, min(p_brand) as brand from part
+    with a0 as (select lower(p_name || ' ' || p_type) as job_title, arg_max(p_size, p_partkey) as size, count(*) as n from part where p_size < 25 group by 1),
+    a as (select job_title, case when size <> 23 then size || '%' end as ai_impact, case when n <> 2 then n end as tasks from a0),
+    b0 as (select p_name as other, min(p_type) as low, max(p_type) as high, count(*) as n, arg_max(p_size, p_partkey) as size, arg_max(p_brand, p_partkey) as brand from part
            where p_size >= 25 group by 1),
-    b as (select other, case when most >= 48 then brand end as education_level, high as job_training, low as work_experience, n as openings from b0),
+    b as (select other, case when size >= 30 then brand end as education_level, high as job_training, low as work_experience, n as openings from b0),
     matches as (select * from a, b where round(jaro_similarity(job_title, other), 9) >= 0.6),
     titled as (select * replace (array_to_string(list_transform(string_split(job_title, ' '), lambda w: upper(w[1]) || w[2:]), ' ') as job_title) from matches),
     jobs as (select * from titled qualify row_number() over (partition by job_title order by other) = 1),

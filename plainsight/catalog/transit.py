@@ -52,8 +52,8 @@ _MERGED = (
     sized as (select *, case when total_upt < 700 then 'Small' when total_upt < 1300 then 'Medium' else 'Large' end as size from agencies)
     """
 )
-_AGENCY_COLS = """agency, round(total_emissions, 4) as total_emissions, total_upt, total_miles, round(per_upt, 6) as per_upt,
-    round(per_mile, 6) as per_mile, category_upt, category_mile"""
+_AGENCY_COLS = """agency, round(total_emissions, 4) as total_emissions, total_upt, total_miles, round(per_upt, 10) as per_upt,
+    round(per_mile, 10) as per_mile, category_upt, category_mile"""
 
 
 def _sep(t):
@@ -85,7 +85,7 @@ def _agencies(t):
 
 
 def _rounded(df):
-    digits = {"total_emissions": 4, "per_upt": 6, "per_mile": 6}
+    digits = {"total_emissions": 4, "per_upt": 10, "per_mile": 10}
     return df.withColumns({c: F.round(c, d) for c, d in digits.items() if c in df.columns})
 
 
@@ -233,7 +233,7 @@ def emissions_total(t):
     "emissions_per_trip",
     _MERGED
     + """
-    select agency, mode, round(total_emissions / upt, 6) as per_upt, case when total_emissions is null then 'Unknown'
+    select agency, mode, round(total_emissions / upt, 10) as per_upt, case when total_emissions is null then 'Unknown'
       when total_emissions / upt < 2 then 'Small' when total_emissions / upt <= 4 then 'Medium' else 'Large' end as category from merged
     """,
 )
@@ -245,7 +245,7 @@ def emissions_per_trip(t):
     "emissions_per_mile",
     _MERGED
     + """
-    select agency, mode, round(total_emissions / miles, 6) as per_mile, case when total_emissions is null then 'Unknown'
+    select agency, mode, round(total_emissions / miles, 10) as per_mile, case when total_emissions is null then 'Unknown'
       when total_emissions / miles < 0.1 then 'Small' when total_emissions / miles <= 0.3 then 'Medium' else 'Large' end as category from merged
     """,
 )
@@ -290,10 +290,10 @@ def _best(t, size):
     return _rounded(X.best_by_size(rows).select("size", "agency", "per_upt"))
 
 
-_BEST = _MERGED + "select size, agency, round(per_upt, 6) as per_upt from sized where size = '{}' order by sized.per_upt, agency limit 1"
+_BEST = _MERGED + "select size, agency, round(per_upt, 10) as per_upt from sized where size = '{}' order by sized.per_upt, agency limit 1"
 
 
-@query("best_by_size", _MERGED + """select size, agency, round(per_upt, 6) as per_upt from sized
+@query("best_by_size", _MERGED + """select size, agency, round(per_upt, 10) as per_upt from sized
     qualify row_number() over (partition by size order by sized.per_upt, agency) = 1""")
 def best_by_size(t):
     return _rounded(X.best_by_size(X.sized(_agencies(t), 700, 1300)).select("size", "agency", "per_upt"))

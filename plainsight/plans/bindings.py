@@ -228,24 +228,24 @@ def counties(t: Tables) -> DataFrame:
 
 
 def exposure_raw(t: Tables) -> DataFrame:
-    """Names and types of small parts as job titles."""
+    """Names and types of small parts as job titles, rated by the size of their latest part."""
     titles = t.part.where(F.col("p_size") < 25).groupBy("p_name", "p_type").agg(
-        F.max("p_size").alias("most"), F.count("*").alias("n")
+        F.max_by("p_size", "p_partkey").alias("size"), F.count("*").alias("n")
     )
     return titles.select(
         F.concat(F.lit(" "), F.initcap("p_name"), F.lit(" "), F.col("p_type"), F.lit(" ")).alias("Job titiles"),
-        F.when(F.col("most") != 23, F.concat(F.col("most"), F.lit("%"))).alias("AI Impact"),
+        F.when(F.col("size") != 23, F.concat(F.col("size"), F.lit("%"))).alias("AI Impact"),
         F.when(F.col("n") != 2, F.col("n").cast("int")).alias("Tasks"),
     )
 
 
 def outlook_raw(t: Tables) -> DataFrame:
-    """Names of large parts as occupations, their first type as education."""
+    """Names of large parts as occupations, with the brand of their latest part as education."""
     titles = t.part.where(F.col("p_size") >= 25).groupBy("p_name").agg(
         F.min("p_type").alias("low"), F.max("p_type").alias("high"), F.count("*").alias("n"), F.max("p_size").alias("most"),
-        F.min("p_brand").alias("brand"),
+        F.max_by("p_brand", "p_partkey").alias("brand"), F.max_by("p_size", "p_partkey").alias("size"),
     )
-    education = F.when(F.col("most") >= 48, F.col("brand"))
+    education = F.when(F.col("size") >= 30, F.col("brand"))
     return titles.select(
         F.initcap("p_name").alias("Occupation Title"),
         F.lit("00-0000").alias("Occupation Code"),
