@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,12 +17,12 @@ CENTS_PER_KWH_TO_DOLLARS_PER_MWH = 10.0
 
 def weighted_sum(weights: Mapping[str, float]) -> Column:
     """Sum of column times weight. A NULL column makes the sum NULL, even at weight 0."""
-    return reduce(add, [F.col(c) * F.lit(float(w)) for c, w in weights.items()])
+    return F.expr(" + ".join(f"`{c}` * CAST({float(w)!r} AS DOUBLE)" for c, w in weights.items()))
 
 
 def row_sum(cols: Iterable[str]) -> Column:
     """Sum over columns of one row, NULL counted as 0."""
-    return reduce(add, [F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
+    return F.expr(" + ".join(f"coalesce(`{c}`, 0D)" for c in cols))
 
 
 def round_even(c: Column | str, digits: int = 0) -> Column:

@@ -14,33 +14,28 @@ def payroll(t: Tables) -> DataFrame:
 
     Names are put in title case in their own table, before the joins.
     """
-    people = t.customer.select(
+    people = t.customer.withColumn("agency_name", title_case("c_mktsegment")).selectExpr(
         "c_custkey",
-        title_case("c_mktsegment").alias("agency_name"),
-        F.lit("Customer").alias("first_name"),
-        F.substring("c_mktsegment", 1, 1).alias("mid_init"),
-        F.col("c_name").alias("last_name"),
-        F.concat(F.lit("Nation_"), F.col("c_nationkey")).alias("work_location"),
+        "agency_name",
+        "'Customer' AS first_name",
+        "substring(c_mktsegment, 1, 1) AS mid_init",
+        "c_name AS last_name",
+        "concat('Nation_', c_nationkey) AS work_location",
     )
-    jobs = t.orders.select(
-        "o_orderkey", "o_custkey", F.year("o_orderdate").alias("fiscal_year"), title_case("o_orderpriority").alias("position")
+    jobs = t.orders.withColumn("position", title_case("o_orderpriority")).selectExpr(
+        "o_orderkey", "o_custkey", "year(o_orderdate) AS fiscal_year", "position"
     )
-    never = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O")
-    price = F.col("l_extendedprice")
-    records = t.lineitem.select(
+    records = t.lineitem.selectExpr(
         "l_orderkey",
         "l_partkey",
-        price.alias("base_salary"),
-        (price * (1 - F.col("l_discount"))).alias("gross_paid"),
-        (price * F.col("l_tax")).alias("overtime_paid"),
-        (price * F.col("l_discount")).alias("additional_pay"),
-        F.col("l_quantity").alias("regular_hours"),
-        (F.col("l_quantity") * F.col("l_tax")).alias("overtime_hours"),
-        F.when(F.col("l_returnflag") == "A", "per Annum")
-        .when(F.col("l_returnflag") == "R", "per Hour")
-        .otherwise("per Day")
-        .alias("pay_basis"),
-        F.when(never, F.to_date(F.lit("9999-12-31"))).otherwise(F.to_date("l_shipdate")).alias("start_date"),
+        "l_extendedprice AS base_salary",
+        "l_extendedprice * (1 - l_discount) AS gross_paid",
+        "l_extendedprice * l_tax AS overtime_paid",
+        "l_extendedprice * l_discount AS additional_pay",
+        "l_quantity AS regular_hours",
+        "l_quantity * l_tax AS overtime_hours",
+        "CASE l_returnflag WHEN 'A' THEN 'per Annum' WHEN 'R' THEN 'per Hour' ELSE 'per Day' END AS pay_basis",
+        "CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN DATE '9999-12-31' ELSE to_date(l_shipdate) END AS start_date",
     )
     # Orders meet customers first, so that line items are shuffled only once.
     held = jobs.join(people, F.col("o_custkey") == F.col("c_custkey"))
