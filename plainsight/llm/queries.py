@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import scratch_dir, tune
 from ..tables import Tables
-from . import lines, minhash, packing, toxicity
+from . import caps, lines, minhash, packing, token_store, toxicity, warc
 from .rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,53 @@ def op2_packing(t):
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query(
+    r"""
+    with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+    g as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
+    select page_id, payload_bytes, payload_digest,
+           case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+           case when page_id is distinct from first then first end as refers_to
+    from p left join g using (payload_digest)
+    """
+)
+def op3_warc(t):
+    folder = scratch_dir(t.spark, "warc")
+    warc.write(t.pages, folder)
+    return warc.read(t.spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    """
+    with v as (
+      select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+      where label is not null and embedding is not null),
+    p as (
+      select a.vec_id as a, b.vec_id as b from v a join v b
+        on a.label = b.label and a.vec_id < b.vec_id
+       and list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.98),
+    e as (select a, b from p union all select b, a from p),
+    r as (
+      with recursive r(node, seen) as (
+        select vec_id, vec_id from embeddings
+        union
+        select e.a, r.seen from r join e on e.b = r.node)
+      select node, min(seen) as component_id from r group by node)
+    select vec_id, (select count(*) from e where e.a = vec_id) as n_links, component_id, vec_id = component_id as kept
+    from embeddings join r on r.node = vec_id
+    """
+)
+def op4_cap_filters(t):
+    return caps.near_duplicates(t.embeddings)
+
+
+@query()
+def op6_token_store(t):
+    folder = scratch_dir(t.spark, "tokens")
+    token_store.write(t.documents, folder)
+    return token_store.read(t.spark, folder, with_ids=False)
+
+
 @query()
 def op9_minhash_near_dedup(t):
     return minhash.near_duplicates(t.documents, size=2)
