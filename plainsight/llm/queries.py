@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir, tune
 from ..tables import Tables
-from . import caps, lines, minhash, packing, token_store, toxicity, warc
+from . import caps, decontaminate, lines, minhash, packing, token_store, toxicity, warc
 from .rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,11 @@ def op4_cap_filters(t):
     return caps.near_duplicates(t.embeddings)
 
 
+@query()
+def op5_decontamination(t):
+    return decontaminate.passages(t.documents, t.benchmark)
+
+
 @query()
 def op6_token_store(t):
     folder = scratch_dir(t.spark, "tokens")
