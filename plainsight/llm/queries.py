@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir, tune
 from ..tables import Tables
-from . import caps, decontaminate, lines, minhash, packing, token_store, toxicity, warc
+from . import caps, decontaminate, language_model, lines, minhash, packing, render, token_store, toxicity, warc
 from .rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,17 @@ def op6_token_store(t):
     return token_store.read(t.spark, folder, with_ids=False)
 
 
+@query()
+def op7_backoff_automaton(t):
+    scored = language_model.score(t.documents, fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op8_html_rendering(t):
+    return render.render(t.pages.select("page_id", "html"))
+
+
 @query()
 def op9_minhash_near_dedup(t):
     return minhash.near_duplicates(t.documents, size=2)
