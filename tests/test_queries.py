@@ -4,8 +4,10 @@ from conftest import plan_of
 
 import __spark_entry__ as entry
 from check import TABLES, rows
+from plainsight.catalog import ORACLES
+from plainsight.catalog import QUERIES as NAMES
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: f for name, f in entry.queries().items() if name in NAMES}
 
 
 @pytest.fixture(scope="module")
