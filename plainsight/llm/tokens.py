@@ -32,7 +32,7 @@ class Encoder:
     given file's kind.
     """
 
-    def __init__(self, path: str, max_parts: int = 600_000):
+    def __init__(self, path: str, max_parts: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,18 +47,22 @@ class Encoder:
         """The ids of one text as little-endian unsigned 32-bit numbers."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode new parts together, set apart by white space that they do not contain."""
+    def _together(self, parts: list[str]) -> list[bytes]:
+        """Encode parts in one text, set apart by white space that they do not contain."""
+        out: list[bytes | None] = [None] * len(parts)
+        left = list(range(len(parts)))
         for separator, own in self.separators.items():
-            joint = [p for p in parts if separator not in p and p[-1:].strip()]
-            data = self.whole(separator.join([" " + p for p in joint]))
-            ids = np.frombuffer(data, "<u4")
-            ends = (4 * np.append(np.flatnonzero(ids == own[0]), len(ids))).tolist()
-            if len(own) == 1 and len(ends) == len(joint):
-                starts = [0, *(e + 4 for e in ends)]
-                self.parts.update(zip(joint, map(data.__getitem__, map(slice, starts, ends))))
-            parts = [p for p in parts if p not in self.parts]
-        self.parts.update((p, self.whole(" " + p)) for p in parts)
+            at = [i for i in left if separator not in parts[i] and not parts[i][-1:].isspace()]
+            data = self.whole(separator.join([parts[i] for i in at]))
+            ends = np.flatnonzero(np.frombuffer(data, "<u4") == own[0]) * 4
+            if len(own) == 1 and len(ends) == len(at) - 1:
+                ends = ends.tolist()
+                for i, a, b in zip(at, [0, *(e + 4 for e in ends)], [*ends, len(data)]):
+                    out[i] = data[a:b]
+                left = [i for i in left if out[i] is None]
+        for i in left:
+            out[i] = self.whole(parts[i])
+        return out
 
     def _cut(self, texts: pa.Array) -> list[bytes]:
         """Ids of texts that can be cut at their spaces."""
@@ -68,18 +72,20 @@ class Encoder:
         offsets = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
         at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        heads = [self.whole(words[i]) for i in at[offsets[:-1]]]
+        heads = self._together([words[i] for i in at[offsets[:-1]]])
         at[offsets[:-1]] = len(words) + np.arange(len(heads))
-        known = self.parts
-        missing = [w for w in words if w not in known]
-        if missing:
-            self._learn(missing)
-        found = [*map(known.__getitem__, words), *heads]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        found = list(map(self.parts.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missing, self._together([" " + words[i] for i in missing])):
+            found[i] = self.parts[words[i]] = ids
+        found += heads
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
         ids = np.frombuffer(b"".join(found), "<u4")
         n = lengths[at]
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = ids[np.repeat((np.cumsum(lengths) - lengths)[at] - before[:-1], n) + np.arange(before[-1])]
+        before = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=before[1:])
+        starts = (np.cumsum(lengths, dtype=np.int32) - lengths)[at] - before[:-1]
+        ids = ids[np.repeat(starts, n) + np.arange(before[-1], dtype=np.int32)]
         ends = before[offsets]
         return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
 
