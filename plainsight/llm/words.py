@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 # Words are runs of bytes other than the white space 0x20 and 0x09 to 0x0D.
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[0x41:0x5B] += 0x20
 _BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -42,13 +43,13 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     A-Z are lowered. A missing text has no words. A word's hash is a polynomial of its
     bytes, taken from running sums over all texts, and mixed.
     """
-    texts = pc.ascii_lower(texts.cast(pa.large_string()).fill_null(""))
+    texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     low, n = int(offsets[0]), int(offsets[-1] - offsets[0])
     offsets = offsets - low
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[low : low + n]
+    data = _LOWERED[np.frombuffer(texts.buffers()[2], np.uint8)[low : low + n]]
     inside = _IN_WORD[data]
     breaks = np.zeros(n + 1, bool)
     breaks[offsets] = True
