@@ -46,7 +46,7 @@ def train_dictionary(docs: DataFrame, path: str, size: int = 65536, max_docs: in
         return b"".join(samples)[:size]
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, level: int = 3, max_bytes: int = 32 << 20) -> DataFrame:
+def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, level: int = 3, max_bytes: int = 16 << 20) -> DataFrame:
     """Write the ids of ``docs`` in ascending order of ``doc_id`` below ``folder``, which all executors share.
 
     Texts, not ids, are shuffled: a range partition by id is sorted, encoded and written

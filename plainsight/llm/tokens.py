@@ -32,7 +32,7 @@ class Encoder:
     given file's kind.
     """
 
-    def __init__(self, path: str, max_parts: int = 800_000):
+    def __init__(self, path: str, max_parts: int = 650_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
