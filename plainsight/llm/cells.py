@@ -33,12 +33,18 @@ def cells(rows: DataFrame, keys: Sequence[str], member: str, block: int = 2048)
 
 
 def compare(
-    dealt: DataFrame, keys: Sequence[str], schema: StructType | str, f: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch], pairs: int = 200_000
+    dealt: DataFrame,
+    keys: Sequence[str],
+    schema: StructType | str,
+    f: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch],
+    pairs: int = 200_000,
+    combine: Callable[[pa.Table], pa.RecordBatch] | None = None,
 ) -> DataFrame:
     """Run ``f(rows, left, right)`` on the pairs of each cell, some ``pairs`` at a time.
 
     ``left`` and ``right`` are row positions in ``rows``, which holds whole cells. Each
-    pair comes once. The rows that ``f`` returns are the result.
+    pair comes once. The rows that ``f`` returns are the result; ``combine`` may shorten
+    those of some cells that a task holds together.
     """
     by = [*keys, "cell_i", "cell_j"]
 
@@ -58,7 +64,7 @@ def compare(
         first = np.where(i == j, np.arange(n) + 1, end - second[cell])
         count = np.where((i == j) | (side == i), end - first, 0)
         total = np.concatenate([[0], np.cumsum(count)])
-        at = 0
+        at, outs = 0, []
         while at < n:
             to = max(at + 1, int(np.searchsorted(total, total[at] + pairs, "right")) - 1)
             own = count[at:to]
@@ -66,9 +72,13 @@ def compare(
             if len(left):
                 right = np.arange(len(left)) - np.repeat(total[at:to] - total[at], own) + np.repeat(first[at:to], own)
                 out = f(rows, left, right)
-                if out.num_rows:
+                if out.num_rows and combine:
+                    outs.append(out)
+                elif out.num_rows:
                     yield out
             at = to
+        if outs:
+            yield combine(pa.Table.from_batches(outs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None

@@ -35,6 +35,12 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
+def forest(edges: pa.Table) -> pa.RecordBatch:
+    """Edges of the same components, at most one per node."""
+    v, u = union_find(*[edges.column(i).to_numpy() for i in (0, 1)])
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64())], names=edges.column_names)
+
+
 def _contracted(edges: DataFrame, max_edges: int = 500_000) -> DataFrame:
     """Edges of the same components, as stars within each task's share of the edges.
 
@@ -44,20 +50,15 @@ def _contracted(edges: DataFrame, max_edges: int = 500_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def stars() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            v, u = union_find(*[table.column(i).to_numpy() for i in (0, 1)])
-            return pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], names=["v", "u"])
-
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 n += batch.num_rows
             if n >= max_edges:
-                yield stars()
+                yield forest(pa.Table.from_batches(held))
                 held, n = [], 0
         if held:
-            yield stars()
+            yield forest(pa.Table.from_batches(held))
 
     return edges.mapInArrow(run, "v long, u long")
 

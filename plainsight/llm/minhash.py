@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .cells import cells, compare
-from .graph import components
+from .graph import components, forest
 from .rows import fields, quoted, with_arrays
 from .words import mix, shingle_sets
 
@@ -88,16 +88,27 @@ def _sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return with_arrays(docs, ["_text"], added, lambda: f, drop=["_text"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of ids whose whole sets are similar enough."""
-    pairs = stored(pairs, "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "wanted")
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``_id`` and the whole set of the documents with these ids, which are distinct."""
 
     def f(text: pa.Array) -> list:
         return [_lists(*shingle_sets(text, size))]
 
-    sets = docs.join(wanted, "_id", "left_semi")
-    sets = stored(with_arrays(sets, ["_text"], fields("shingles array<long>"), lambda: f, drop=["_text"]), "sets")
+    wanted = docs.join(ids, "_id", "left_semi")
+    return stored(with_arrays(wanted, ["_text"], fields("shingles array<long>"), lambda: f, drop=["_text"]), "sets")
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers start and end."""
+    edges = np.flatnonzero(np.diff(x, prepend=-1, append=-1)) if len(x) else np.zeros(1, int)
+    return edges[:-1], edges[1:]
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of ids whose whole sets are similar enough."""
+    pairs = stored(pairs, "pairs")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "wanted")
+    sets = _sets(docs, wanted, size)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     similar = 100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)
@@ -124,8 +135,9 @@ def near_duplicates(
     probability of 5e-8. First each member of a bucket is verified against the smallest
     one, which joins most groups without comparing all pairs. Then, in buckets that
     still hold more than one component, all pairs across components are compared by
-    signature, in blocks, and those that may reach the limit are verified. Links are
-    confirmed on whole sets.
+    signature, in blocks; those that may reach the limit connect families, and all
+    pairs of a family across components are verified, again in blocks. A task passes on
+    a spanning forest, not pairs. Links are confirmed on whole sets.
 
     Words are runs of non-white-space with A-Z lowered. With fewer than ``size`` words
     the whole text is one shingle. A text without words is linked with nothing. Rows
@@ -165,20 +177,54 @@ def near_duplicates(
     mixed = open_.join(stored(mixed, "mixed"), "key")
     least = int(0.62 * m)
 
-    def alike(table: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-        group, n, ids = (table[c].to_numpy() for c in ("group", "n", "id"))
+    def alike(table: pa.Table, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs, those of two components that may reach the limit by size and signature."""
+        group, n = table["group"].to_numpy(), table["n"].to_numpy()
         ok = group[left] != group[right]
         ok &= np.minimum(n[left], n[right]) * 100 >= np.maximum(n[left], n[right]) * percent
         left, right = left[ok], right[ok]
         low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(n), m)
         hits = [(low[left[i : i + 20000]] == low[right[i : i + 20000]]).sum(axis=1) for i in range(0, len(left), 20000)]
         ok = np.concatenate(hits) >= least if hits else np.zeros(0, bool)
-        a, b = ids[left[ok]], ids[right[ok]]
-        found = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
-
-    second = compare(cells(mixed, ["key"], "id"), ["key"], "a long, b long", alike).distinct()
-    more = stored(_verified(second, named, size, percent), "links")
+        return left[ok], right[ok]
+
+    def edges(table: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        ids = table["id"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right])], names=["a", "b"])
+
+    def maybe(table: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        return edges(table, *alike(table, left, right))
+
+    def similar(table: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        left, right = alike(table, left, right)
+        sets = table["shingles"].combine_chunks()
+        starts = sets.offsets.to_numpy()
+        # Sets as numbers of the shingles in this table, so that a flag per shingle tells what is shared.
+        names, values = np.unique(sets.values.to_numpy()[starts[0] : starts[-1]], return_inverse=True)
+        starts = starts - starts[0]
+        flag = np.zeros(len(names), np.int64)
+        ok = np.zeros(len(left), bool)
+        for a, b in zip(*_runs(left)):
+            own = values[starts[left[a]] : starts[left[a] + 1]]
+            n = starts[right[a:b] + 1] - starts[right[a:b]]
+            at = np.arange(n.sum()) + np.repeat(starts[right[a:b]] - (np.cumsum(n) - n), n)
+            flag[own] = 1
+            shared = np.add.reduceat(flag[values[at]], np.cumsum(n) - n)
+            flag[own] = 0
+            ok[a:b] = 100 * shared >= percent * (len(own) + n - shared)
+        return edges(table, left[ok], right[ok])
+
+    # Families: what such pairs connect. All pairs of a family across components are verified
+    # where its sets are, so that neither pairs nor sets are sent around once per bucket.
+    families = compare(cells(mixed, ["key"], "id"), ["key"], "a long, b long", maybe, combine=forest)
+    families = components(stored(families, "maybe"))
+    families = stored(families.unionByName(families.select(F.col("component").alias("node"), "component").distinct()), "families")
+    sets = _sets(named, families.select(F.col("node").alias("_id")), size)
+    rows_ = families.withColumnsRenamed({"node": "id", "component": "family"}).join(classes.select("id", F.col("n_shingles").alias("n"), "low"), "id")
+    rows_ = rows_.join(groups, F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "id")).drop("node", "component")
+    rows_ = rows_.join(sets.toDF("id", "shingles"), "id").where(F.size("shingles") == F.col("n"))
+    more = compare(cells(rows_, ["family"], "id", block=1024), ["family"], "a long, b long", similar, combine=forest)
+    more = stored(more, "links")
     groups = components(links.unionByName(more)) if not more.isEmpty() else groups
     groups = classes.select("f1", "f2", "n_shingles", "id").join(groups, F.col("id") == F.col("node"), "left")
     groups = stored(groups.select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id")), "groups")
