@@ -41,7 +41,7 @@ def forest(edges: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64())], names=edges.column_names)
 
 
-def _contracted(edges: DataFrame, max_edges: int = 500_000) -> DataFrame:
+def _contracted(edges: DataFrame, max_edges: int) -> DataFrame:
     """Edges of the same components, as stars within each task's share of the edges.
 
     A task groups at most ``max_edges`` at a time, so its memory is bounded.
@@ -54,7 +54,7 @@ def _contracted(edges: DataFrame, max_edges: int = 500_000) -> DataFrame:
             if batch.num_rows:
                 held.append(batch)
                 n += batch.num_rows
-            if n >= max_edges:
+            if n > max_edges:
                 yield forest(pa.Table.from_batches(held))
                 held, n = [], 0
         if held:
@@ -63,7 +63,7 @@ def _contracted(edges: DataFrame, max_edges: int = 500_000) -> DataFrame:
     return edges.mapInArrow(run, "v long, u long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, max_edges: int = 500_000) -> DataFrame:
     """The smallest node of each component: rows (``node``, ``component``).
 
     ``edges`` are two columns of numbers, in either direction, repeated or not. Only
@@ -75,7 +75,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     pairs = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("v <> u")
-    pairs = stored(_contracted(pairs).distinct(), "edges")
+    pairs = stored(_contracted(pairs, max_edges), "edges")
+    if pairs.count() <= max_edges:
+        return stored(_contracted(pairs.coalesce(1), max_edges).toDF("node", "component"), "components")
     state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))

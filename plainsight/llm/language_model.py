@@ -148,7 +148,7 @@ class Automaton:
 
 
 def score(
-    docs: DataFrame, train: Column | None = None, order: int = 2, mass: float = 500.0, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, train: Column | None = None, order: int = 2, mass: float = 500.0, block_bytes: int = 5 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Learn an n-gram model from the rows where ``train`` holds, and score every text.
 

@@ -132,8 +132,8 @@ def near_duplicates(
 
     Documents with equal sets are one from the start. The others meet in buckets of
     equal bands; with 32 bands of 4 slots a pair at the limit is missed with a
-    probability of 5e-8. First each member of a bucket is verified against the smallest
-    one, which joins most groups without comparing all pairs. Then, in buckets that
+    probability of 5e-8. First each document is verified against the smallest one of all
+    its buckets, which joins most groups without comparing all pairs. Then, in buckets that
     still hold more than one component, all pairs across components are compared by
     signature, in blocks; those that may reach the limit connect families, and all
     pairs of a family across components are verified, again in blocks. A task passes on
@@ -161,7 +161,7 @@ def near_duplicates(
     centres = stored(centres.where("size > 1").select("key", "c", "size"), "centres")
     close = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
     first = banded.drop("low").join(centres, "key").where(close & (F.col("id") != F.col("c.id")))
-    first = first.select(F.col("id").alias("a"), F.col("c.id").alias("b")).distinct()
+    first = first.groupBy(F.col("id").alias("a")).agg(F.min("c.id").alias("b"))
     links = stored(_verified(first, named, size, percent), "links")
     # An id with several texts holds their classes together.
     several = members.groupBy("_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y"))
