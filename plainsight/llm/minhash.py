@@ -104,11 +104,8 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[:-1], edges[1:]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a``, ``b``) of ids whose whole sets are similar enough."""
-    pairs = stored(pairs, "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "wanted")
-    sets = _sets(docs, wanted, size)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     similar = 100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)
@@ -160,9 +157,12 @@ def near_duplicates(
     centres = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("size"))
     centres = stored(centres.where("size > 1").select("key", "c", "size"), "centres")
     close = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
-    first = banded.drop("low").join(centres, "key").where(close & (F.col("id") != F.col("c.id")))
+    # Sets of whatever shares a bucket, once: the texts are shuffled for it, the sets are not kept for others.
+    met = banded.drop("low").join(centres, "key")
+    sets = _sets(named, stored(met.select(F.col("id").alias("_id")).distinct(), "wanted"), size)
+    first = met.where(close & (F.col("id") != F.col("c.id")))
     first = first.groupBy(F.col("id").alias("a")).agg(F.min("c.id").alias("b"))
-    links = stored(_verified(first, named, size, percent), "links")
+    links = stored(_verified(first, sets, percent), "links")
     # An id with several texts holds their classes together.
     several = members.groupBy("_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y"))
     several = several.where("x <> y").select("_id")
@@ -219,7 +219,6 @@ def near_duplicates(
     families = compare(cells(mixed, ["key"], "id"), ["key"], "a long, b long", maybe, combine=forest)
     families = components(stored(families, "maybe"))
     families = stored(families.unionByName(families.select(F.col("component").alias("node"), "component").distinct()), "families")
-    sets = _sets(named, families.select(F.col("node").alias("_id")), size)
     rows_ = families.withColumnsRenamed({"node": "id", "component": "family"}).join(classes.select("id", F.col("n_shingles").alias("n"), "low"), "id")
     rows_ = rows_.join(groups, F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "id")).drop("node", "component")
     rows_ = rows_.join(sets.toDF("id", "shingles"), "id").where(F.size("shingles") == F.col("n"))

@@ -151,13 +151,14 @@ def entries(found: DataFrame) -> DataFrame:
     and every pointer is replaced by the pointer of where it leads. Rounds grow with the
     logarithm of the splits per file. Each is written to the shared folder.
     """
-    jumps = stored(found.select("file", "at", "leaves"), "jumps")
+    jumps = nodes = stored(found.select("file", "at", "leaves"), "jumps")
     reached = stored(jumps.where("at = 0").select("file", "at"), "reached")
     n = -1
     while (count := reached.count()) != n:
         n = count
         led = reached.join(jumps, ["file", "at"]).select("file", F.col("leaves").alias("at"))
-        led = led.join(jumps.select("file", "at"), ["file", "at"], "left_semi")
+        # What points beyond the end of the file has no pointer any more, but is a node.
+        led = led.join(nodes.select("file", "at"), ["file", "at"], "left_semi")
         reached = stored(reached.unionByName(led).distinct(), "reached")
         onward = jumps.select("file", F.col("at").alias("leaves"), F.col("leaves").alias("then"))
         jumps = stored(jumps.join(onward, ["file", "leaves"]).select("file", "at", F.col("then").alias("leaves")), "jumps")

@@ -122,6 +122,15 @@ def test_warc(spark):
     assert warc.read(spark, none).count() == 0
 
 
+def test_long_chains_over_many_splits(spark):
+    folder = scratch_dir(spark, "warc")
+    pages = spark.range(300).selectExpr("id as page_id", "'u' as url", "concat(id, repeat('<p>x', cast(id % 90 as int))) as html").coalesce(1)
+    warc.write(pages, folder)
+    for split in (300, 5000, 1 << 20):
+        got = [r[0] for r in warc.read(spark, folder, split_bytes=split).select("page_id").collect()]
+        assert sorted(got) == list(range(300))
+
+
 def brute_scores(rows, order, mass):
     words = [(t or "").encode().lower().split() + ["</s>"] for _, t in rows]
     counts, base, texts = collections.Counter(), collections.Counter(), 0
