@@ -88,8 +88,12 @@ def _sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return with_arrays(docs, ["_text"], added, lambda: f, drop=["_text"])
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``_id`` and the whole set of the documents with these ids, which are distinct."""
+def _sets(docs: DataFrame, ids: DataFrame, size: int, few: int = 200_000) -> DataFrame:
+    """``_id`` and the whole set of the documents with these ids, which are distinct and stored.
+
+    Up to ``few`` ids, of eight bytes each, are broadcast; beyond, the texts are shuffled.
+    """
+    ids = F.broadcast(ids) if ids.count() <= few else ids
 
     def f(text: pa.Array) -> list:
         return [_lists(*shingle_sets(text, size))]
