@@ -138,6 +138,7 @@ def cut(
                     [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(ats, pa.int64()), pa.array(ends, pa.int64())],
                     names=schema.fieldNames(),
                 )
+        encoder(path).rest()
 
     return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, schema)
 

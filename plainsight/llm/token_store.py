@@ -110,6 +110,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2
                         frames, ids, counts, size, seq = [], [], [], 0, seq + 1
         if ids:
             yield shard()
+        encoder(path).rest()
 
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

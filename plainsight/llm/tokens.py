@@ -47,6 +47,10 @@ class Encoder:
         """The ids of one text as little-endian unsigned 32-bit numbers."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
+    def rest(self) -> None:
+        """Forget all but the most frequent words, as the process may wait long for its next task."""
+        self.parts = dict(islice(self.parts.items(), self.max_parts // 8))
+
     def _together(self, parts: list[str]) -> list[bytes]:
         """Encode parts in one text, set apart by white space that they do not contain."""
         out: list[bytes | None] = [None] * len(parts)

@@ -37,7 +37,7 @@ class Model:
     weights: dict[int, np.ndarray]
     bias: np.ndarray
 
-    def scorer(self, max_words: int = 300_000) -> Callable[[str | None], float]:
+    def scorer(self, max_words: int = 150_000) -> Callable[[str | None], float]:
         """A function from a text to its probability of toxicity; 0 from a model without classifiers.
 
         It remembers up to ``max_words`` words and which features of the model they have.
