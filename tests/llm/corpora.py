@@ -1,3 +1,5 @@
+"""Tables for the tests of this folder."""
+
 import pytest
 from pyspark.sql import functions as F
 

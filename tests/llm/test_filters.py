@@ -6,6 +6,7 @@ import pytest
 
 from plainsight.llm import decontaminate, lines, toxicity
 from plainsight.llm.rows import fold_of
+from corpora import corpus  # noqa: F401
 
 ODD = [(1, None), (2, ""), (3, " "), (None, "no id"), (4, "x" * 300_000), (5, "same"), (5, "same"), (6, "\n\n"), (7, "é\x0bÀ\x1f\n  É  ")]
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 from plainsight.llm import caps, minhash
 from plainsight.llm.graph import components
 from plainsight.llm.words import hashed_words, shingle_sets
+from corpora import corpus  # noqa: F401
 from test_filters import ODD
 
 

@@ -12,6 +12,7 @@ from plainsight.llm import language_model, packing, render, token_store, warc
 from plainsight.llm.rows import fold, fold_of
 from plainsight.llm.tokens import Encoder, default_path
 from plainsight.session import scratch_dir
+from corpora import corpus  # noqa: F401
 from test_filters import ODD
 
 TEXTS = ODD + [(20, "a  b\n\nc　 d <|endoftext|> e"), (21, "don't, 'tis\x85 so²  "), (22, "\x1c a\x1f b"), (23, "The cat. The cat, the\ncat; \t the cat")]
