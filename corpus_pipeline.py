@@ -56,7 +56,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot train the first stage's classifier; the tests hold run() against a brute-force version.
+#: SQL cannot train the first stage's classifier; the tests hold each stage's operator against brute force.
 ORACLE_SQL = None
 
 
