@@ -51,8 +51,8 @@ def comma_number(c: Column | str) -> Column:
 
 
 def parse_number(c: Column | str) -> Column:
-    """The first signed number in a text, grouping marks ignored."""
-    found = F.regexp_substr(as_col(c), F.lit(r"-?[0-9][0-9,]*(?:\.[0-9]+)?"))
+    """The first signed number in a text, grouping marks ignored; it may start with its point."""
+    found = F.regexp_substr(as_col(c), F.lit(r"-?(?:[0-9][0-9,]*(?:\.[0-9]+)?|\.[0-9]+)"))
     return F.replace(found, F.lit(","), F.lit("")).try_cast("double")
 
 

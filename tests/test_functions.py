@@ -161,3 +161,8 @@ def test_centroid_and_affine(spark):
     assert got[3:] == [None, None]
     moved = apply(spark, shapes[:1], lambda c: G.centroid(G.affine(c, F.lit(0.5), F.lit(10.0), F.lit(-1.0))), kind)
     assert moved == [(10.5, -0.5)]
+
+
+def test_parse_number_that_starts_with_its_point(spark):
+    rows = spark.createDataFrame([(".5",), ("-.25",), ("x1,234.5",), ("v.",), ("7.",)], "x string")
+    assert [r[0] for r in rows.select(text.parse_number("x")).collect()] == [0.5, -0.25, 1234.5, None, 7.0]
