@@ -10,11 +10,11 @@ ANCHORS = ["red ring LARGE", "blue bolt SMALL"]
 
 _SONGS = """
     with song0 as (
-      select cast(p_partkey as varchar) as track_id, p_brand as artist, p_size + 1950 as year, p_size * 2.0::double as popularity,
+      select case when p_type = 'PROMO' then 'promo-' || p_partkey else cast(p_partkey as varchar) end as track_id, p_brand as artist, p_size + 1950 as year, p_size * 2.0::double as popularity,
              p_size / 50.0::double as danceability, (p_partkey % 97) / 97.0::double as acousticness, (p_partkey % 89) / 89.0::double as energy,
              (p_partkey % 83) / 83.0::double as valence, (p_partkey % 7) / 7.0::double as instrumentalness, p_retailprice as tempo,
              p_type as key, p_size
-      from part where p_type <> 'PROMO'),
+      from part),
     songs as (select * exclude (p_size) from song0 union all select * exclude (p_size) replace ('Guest' as artist) from song0 where p_size > 45),
     plays as (
       select 'List ' || o_custkey as playlist_name, o_orderkey as playlist_id, o_totalprice as playlist_followers,

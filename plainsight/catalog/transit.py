@@ -20,13 +20,14 @@ _SEP = """
 
 _USED = {v: k for k, v in B.FUEL_OF_TYPE.items()}
 _FUEL_SUMS = ", ".join(
-    f"coalesce(sum(l_quantity) filter (where p_type = '{_USED[f]}'), 0.0) as {f}" if f in _USED else f"0.0::double as {f}" for f in FUELS
+    f"coalesce(sum(l_quantity) filter (where p_type = '{_USED[f]}'), 0.0) / 256.0::double as {f}" if f in _USED else f"0.0::double as {f}" for f in FUELS
 )
 _ENERGY = f"""
     energy as (
-      select cast(l_suppkey as double) as ntd_id, case l_returnflag when 'A' then 'MB' when 'N' then 'DR' else 'ZZ' end as mode,
+      select cast(case when l_suppkey % 10 = 0 then 9000000000 + l_suppkey else l_suppkey end as double) as ntd_id,
+             case case when l_suppkey % 7 = 0 and l_returnflag = 'N' then 'A' else l_returnflag end when 'A' then 'MB' when 'N' then 'DR' else 'ZZ' end as mode,
              'Agency ' || l_suppkey as agency, {_FUEL_SUMS}
-      from lineitem join part on l_partkey = p_partkey where l_discount >= 0.095 and l_tax >= 0.075 group by l_suppkey, l_returnflag)
+      from lineitem join part on l_partkey = p_partkey group by l_suppkey, 2)
     """
 _SERVICE = """
     service as (

@@ -54,24 +54,30 @@ FUEL_OF_TYPE = {
 
 
 def energy_raw(t: Tables) -> DataFrame:
-    """Fuel use per supplier, mode and service type, numbers as text and ``-`` for none."""
+    """Fuel use per supplier, mode and service type, numbers as text and ``-`` for none.
+
+    All line items count, 256 of their units as one. Every tenth supplier reports under another
+    number, so that some agencies have no fuel data; every seventh has two modes, not three.
+    """
     from ..sources.dimensions import FUELS
 
-    used = t.lineitem.where((F.col("l_discount") >= 0.095) & (F.col("l_tax") >= 0.075))
-    rows = used.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    mode = F.when(F.col("l_returnflag") == "A", "MB").when(F.col("l_returnflag") == "N", "DR").otherwise("ZZ")
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    two_modes = (F.col("l_suppkey") % 7 == 0) & (F.col("l_returnflag") == "N")
+    mode = F.when((F.col("l_returnflag") == "A") | two_modes, "MB").when(F.col("l_returnflag") == "N", "DR").otherwise("ZZ")
     type_of = {fuel: kind for kind, fuel in FUEL_OF_TYPE.items()}
 
     def amount(fuel: str):
         if fuel not in type_of:
             return F.lit("-")
         total = F.sum(F.when(F.col("p_type") == type_of[fuel], F.col("l_quantity")))
-        return F.coalesce(total.cast("string"), F.lit("-"))
+        return F.coalesce((total / 256).cast("string"), F.lit("-"))
 
     grouped = rows.groupBy(F.col("l_suppkey"), mode.alias("mode"), F.col("l_linestatus").alias("tos"))
     sums = grouped.agg(*[amount(f).alias(f) for f in FUELS if f in type_of])
     return sums.select(
-        F.col("l_suppkey").cast("string").alias("ntd_id"),
+        F.when(F.col("l_suppkey") % 10 == 0, F.concat(F.lit("9"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")))
+        .otherwise(F.col("l_suppkey").cast("string"))
+        .alias("ntd_id"),
         F.concat(F.lit("Agency "), F.col("l_suppkey")).alias("agency"),
         "mode",
         "tos",
@@ -137,13 +143,14 @@ def territories(t: Tables) -> DataFrame:
 
 
 def songs_raw(t: Tables) -> DataFrame:
-    """Parts as songs, but for promotional ones, which lack features. Some have two artists."""
+    """Parts as songs, some with two artists. Promotional ones have identifiers that no play has."""
     key = F.col("p_partkey")
     artists = F.when(F.col("p_size") > 45, F.concat(F.lit("['"), F.col("p_brand"), F.lit("', 'Guest']"))).otherwise(
         F.concat(F.lit("['"), F.col("p_brand"), F.lit("']"))
     )
-    return t.part.where(F.col("p_type") != "PROMO").select(
-        key.cast("string").alias("id"),
+    own = F.when(F.col("p_type") == "PROMO", F.concat(F.lit("promo-"), key)).otherwise(key.cast("string"))
+    return t.part.select(
+        own.alias("id"),
         artists.alias("artists"),
         (F.col("p_size") + 1950).alias("year"),
         (F.col("p_size") * 2.0).alias("popularity"),

@@ -67,7 +67,8 @@ def plays(docs: DataFrame) -> DataFrame:
 
 
 def load_plays(spark: SparkSession, path: str) -> DataFrame:
-    return plays(read_documents(spark, path, PLAYLIST_DOCUMENT))
+    """Plays of all readable documents."""
+    return plays(read_documents(spark, path, PLAYLIST_DOCUMENT)[0])
 
 
 # -- exploration ------------------------------------------------------------

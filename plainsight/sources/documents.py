@@ -14,20 +14,33 @@ PLAYLIST_DOCUMENT = (
 )
 
 
-def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per JSON file, each file one document over many lines."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def _judged(texts: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed records, and rows whose ``value`` is no JSON object of the schema: one verdict for each."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options)
+    judged = texts.withColumn("_doc", parsed)
+    # Records that parse to nothing, such as null, arrays and numbers, have no object to start with.
+    good = F.ltrim("value").startswith("{") & F.col("_doc").isNotNull() & F.col(f"_doc.{CORRUPT}").isNull()
+    ok = F.coalesce(good, F.lit(False))
+    return judged.where(ok).select("_doc.*").drop(CORRUPT), judged.where(~ok).drop("_doc")
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, one per JSON file over any number of lines, and unreadable files (``file``, ``value``).
+
+    Files of no bytes at all are on neither side, as Spark does not open them.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return _judged(files, schema)
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good records and quarantined lines (``value``) of newline-delimited JSON files."""
-    full = f"{schema}, {CORRUPT} string"
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    records = spark.read.schema(full).options(**options).json(path)
-    good = records.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = F.from_json("value", full, options)
-    return good, lines.where(parsed.isNull() | parsed[CORRUPT].isNotNull())
+    """Good records and quarantined lines (``file``, ``value``) of newline-delimited JSON files.
+
+    Blank lines are on neither side.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return _judged(lines.where(F.trim("value") != ""), schema)
 
 
 def parse_documents(df: DataFrame, col: str, schema: str) -> DataFrame:

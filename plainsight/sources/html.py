@@ -36,7 +36,7 @@ _ARROW = pa.list_(
 
 
 class _Cells(HTMLParser):
-    """Rows of (is_heading, text) of every table, in order of appearance."""
+    """Every table in order of appearance: rows of (is_heading, text, columns, rows), and None between its sections."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -49,27 +49,30 @@ class _Cells(HTMLParser):
         elif tag == "table":
             self.tables.append([])
             self._open.append({"rows": self.tables[-1], "cell": None})
+        elif self._open and tag in ("thead", "tbody", "tfoot"):
+            self._close_cell()
+            self._open[-1]["rows"].append(None)
         elif self._open and tag == "tr":
             self._close_cell()
             self._open[-1]["rows"].append([])
         elif self._open and tag in ("td", "th"):
             self._close_cell()
             spans = dict(attrs)
-            self._open[-1]["cell"] = (tag == "th", [], self._span(spans.get("colspan")))
+            self._open[-1]["cell"] = (tag == "th", [], min(max(1, self._span(spans.get("colspan"))), 1000), self._span(spans.get("rowspan")))
         elif self._open and tag == "br" and self._open[-1]["cell"]:
             self._open[-1]["cell"][1].append(" ")
 
     @staticmethod
     def _span(value) -> int:
-        return int(value) if value and value.isdigit() and int(value) > 0 else 1
+        return int(value) if value and value.isascii() and value.isdigit() and len(value) < 10 else 1
 
     def _close_cell(self):
         table = self._open[-1]
         if table["cell"]:
-            heading, parts, span = table["cell"]
-            if not table["rows"]:
+            heading, parts, columns, rows = table["cell"]
+            if not table["rows"] or table["rows"][-1] is None:
                 table["rows"].append([])
-            table["rows"][-1].extend([(heading, " ".join("".join(parts).split()))] * span)
+            table["rows"][-1].append((heading, " ".join("".join(parts).split()), columns, rows))
             table["cell"] = None
 
     def handle_endtag(self, tag):
@@ -86,6 +89,28 @@ class _Cells(HTMLParser):
             self._open[-1]["cell"][1].append(data)
 
 
+def _grid(rows: list) -> list[list[tuple[bool, str | None]]]:
+    """Rows of (is_heading, text) with spanned cells repeated; a span ends with its section, 0 reaches that far."""
+    out, open_ = [], {}  # by column: rows still to fill, and the cell
+    for row in rows:
+        if row is None:
+            open_.clear()
+            continue
+        line, below = [], {}
+        for heading, text, columns, span in row:
+            while len(line) in open_:
+                line.append(open_[len(line)][1])
+            for _ in range(columns):
+                if span != 1:
+                    below[len(line)] = (span - 1 if span else -1, (heading, text))
+                line.append((heading, text))
+        for column in range(len(line), max(open_, default=-1) + 1):
+            line.append(open_[column][1] if column in open_ else (False, None))
+        open_ = {c: (n - 1, x) for c, (n, x) in open_.items() if n != 1} | below
+        out.append(line)
+    return out
+
+
 def _tables_of(page: str | None) -> list[dict] | None:
     if page is None:
         return None
@@ -94,14 +119,14 @@ def _tables_of(page: str | None) -> list[dict] | None:
     parser.close()
     out = []
     for rows in parser.tables:
-        rows = [r for r in rows if r]
+        rows = [r for r in _grid(rows) if r]
         width = max(map(len, rows), default=0)
         texts = [[text for _, text in r] + [None] * (width - len(r)) for r in rows]
         out.append(
             {
                 "header": texts[0] if texts else [],
                 "cells": texts[1:],
-                "headings": [text for r in rows for heading, text in r if heading],
+                "headings": [text for r in rows for heading, text in r if heading and text is not None],
             }
         )
     return out
