@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import stored
+from .rows import give_back
 
 
 def cells(rows: DataFrame, keys: Sequence[str], member: str, block: int = 2048) -> DataFrame:
@@ -98,6 +99,8 @@ def compare(
                 held = held.slice(start).combine_chunks()
         if held is not None:
             yield from finish(held.combine_chunks())
+        held = None
+        give_back()
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, *by).sortWithinPartitions(*by, "side").mapInArrow(run, schema)

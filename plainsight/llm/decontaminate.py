@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import stored
-from .rows import fields, others, quoted, slices
+from .rows import fields, give_back, others, slices
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _SPACE = 0x20
@@ -212,6 +212,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, q: int = 8, error_rate: float =
                         rows = [a + b for a, b in zip(part.column(part.num_columns - 1).to_pylist(), rows)]
                     arrays = [part.column(i) for i in (range(len(kept)) if again else positions)]
                     yield pa.RecordBatch.from_arrays([*arrays, pa.array(rows, kind)], names=schema.fieldNames())
+            give_back()
 
         if out is None:
             out = docs.mapInArrow(run, schema)
@@ -229,5 +230,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a benchmark passage, with their columns."""
-    tagged = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("text"))
-    return mark(tagged, benchmark, **options).where(F.size("found") == 0).select("row.*")
+    # Numbered columns cannot clash with what is found, and each is sent to Python once.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    marked = mark(numbered, benchmark, **options, text_col=f"c{docs.columns.index('text')}")
+    return marked.where(F.size("found") == 0).select(*numbered.columns).toDF(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -63,10 +64,20 @@ def with_arrays(
                     x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(new, kinds)
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+        del compute
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, since a worker stays for later tasks, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about ``max_bytes``, of one row at least."""
     n = batch.num_rows

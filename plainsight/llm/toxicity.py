@@ -226,6 +226,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` that the trained model does not reject, with their columns."""
-    tagged = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("text"))
-    kept = score(tagged, train(docs, labels, **options), threshold).where("predicted = 0")
-    return kept.select("row.*")
+    # Numbered columns cannot clash with the score, and each is sent to Python once.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    scored = score(numbered, train(docs, labels, **options), threshold, text_col=f"c{docs.columns.index('text')}")
+    return scored.where("predicted = 0").select(*numbered.columns).toDF(*docs.columns)
