@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import stored
-from .rows import fields, quoted, slices
+from .rows import fields, give_back, quoted, slices
 from .tokens import default_path, encoder
 
 _PIECE = "start long, length long, ids binary, doc_tokens long, part int, at long, rest_end long"
@@ -117,7 +117,7 @@ def cut(
         encode, part, at = encoder(path).encode, TaskContext.get().partitionId(), 0
         rest = 0
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 4 << 20):
                 owner, starts, lengths, ids, totals, ats, ends = [], [], [], [], [], [], []
                 for row, data in enumerate(encode(batch.column(1))):
                     data += end
@@ -138,7 +138,9 @@ def cut(
                     [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(ats, pa.int64()), pa.array(ends, pa.int64())],
                     names=schema.fieldNames(),
                 )
+            give_back()
         encoder(path).rest()
+        give_back()
 
     return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, schema)
 

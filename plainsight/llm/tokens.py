@@ -52,6 +52,10 @@ class Encoder:
         self.parts = dict(islice(self.parts.items(), self.max_parts // 8))
 
     def _together(self, parts: list[str]) -> list[bytes]:
+        """Encode parts, some thousands at a time: the library needs far more memory than their text."""
+        return [x for i in range(0, len(parts), 8192) for x in self._joined(parts[i : i + 8192])]
+
+    def _joined(self, parts: list[str]) -> list[bytes]:
         """Encode parts in one text, set apart by white space that they do not contain."""
         out: list[bytes | None] = [None] * len(parts)
         left = list(range(len(parts)))
