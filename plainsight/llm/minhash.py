@@ -174,11 +174,12 @@ def near_duplicates(
     links = stored(links.unionByName(same).distinct(), "links")
     groups = components(links)
 
-    open_ = banded.join(centres.where("size > 2").select("key"), "key")
+    # Buckets of two as well: their pair was not verified where a member has a smaller centre elsewhere.
+    open_ = banded.drop("low").join(centres.select("key"), "key")
     open_ = open_.join(groups, F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "id")).drop("node", "component")
     open_ = stored(open_, "open")
     mixed = open_.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-    mixed = open_.join(stored(mixed, "mixed"), "key")
+    mixed = open_.join(stored(mixed, "mixed"), "key").join(classes.select("id", "low"), "id")
     least = int(0.62 * m)
 
     def alike(table: pa.Table, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -103,6 +103,25 @@ def test_near_duplicates(spark, corpus):
     assert minhash.near_duplicates(corpus([])).count() == 0
 
 
+def test_pairs_that_meet_only_in_buckets_of_two(spark, corpus):
+    # 3 is a near copy of 2, and shares other buckets with 1, which is like neither.
+    rng = random.Random(11)
+    rows = []
+    for k in range(0, 400, 10):
+        base = [f"w{k}x{i}" for i in range(60)]
+        near = list(base)
+        for i in rng.sample(range(60), 2):
+            near[i] = f"w{k}y{i}"
+        at = rng.randrange(25)
+        rows += [(k + 1, " ".join([f"w{k}z{i}" for i in range(25)] + base[at : at + 35])), (k + 2, " ".join(near)), (k + 3, " ".join(base))]
+    sets = word_sets(rows, 2)
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b])]
+    want = grouped({i for i, _ in rows}, links)
+    assert all(want[i] == (i - 1 if i % 10 == 3 else i) for i, _ in rows)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(corpus(rows), size=2).collect()}
+    assert got == want
+
+
 def test_shingles_of_short_texts():
     h, at = shingle_sets(pa.array(["a b", "A  B", "b a", "a b c d e", "", None]), 5)
     assert np.diff(at).tolist() == [1, 1, 1, 1, 0, 0] and h[0] == h[1] != h[2]
