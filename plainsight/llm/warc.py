@@ -19,7 +19,9 @@ from .rows import fields, open_folder, slices
 _MAGIC = b"WARC/1.0\r\n"
 # Fixed value: the profile that marks a record as a repeat of an equal payload.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_MAX_HEADER = 1 << 16
+_END = b"\r\n\r\n"
+# Most headers end within this much; for others more is read.
+_AHEAD = 1 << 16
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -93,7 +95,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 100, max_bytes: int =
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """The fields of the record header at a position, and where its block starts."""
-    end = data.find(b"\r\n\r\n", at, at + _MAX_HEADER)
+    end = data.find(_END, at)
     if end < 0:
         return None
     found = {}
@@ -105,13 +107,30 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return found, end + 4
 
 
+def _whole_header(f, data: bytes, first: int, at: int, size: int) -> bytes:
+    """``data``, which stands at ``first`` in a file of ``size`` bytes, read on to where the header at a position ends."""
+    if data.find(_END, at) >= 0:
+        return data
+    parts, n, tail = [data], len(data), data[-3:]
+    while first + n < size:
+        more = f.read_at(min(max(_AHEAD, n), size - first - n), first + n)
+        parts.append(more)
+        n += len(more)
+        if _END in tail + more:
+            break
+        tail = (tail + more)[-3:]
+    return b"".join(parts)
+
+
 def candidates(splits: DataFrame, folder: str) -> DataFrame:
     """Every place in the splits that looks like a record, and where the next would start.
 
     ``splits`` are rows of file, size, split, start, end. Returns file, split, ``at``,
     ``next``, and ``leaves``: the first offset outside the split that following ``next``
-    inside it comes to. A place whose header cannot be read, or whose record would go
-    beyond the file or not end with an empty line, is none.
+    inside it comes to. A place that does not follow an empty line, whose header cannot
+    be read, or whose record would go beyond the file or not end with an empty line, is
+    none. A header may have any length. As each stands between two empty lines, none is
+    read twice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,18 +139,22 @@ def candidates(splits: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 with fs.open_input_file(f"{root}/{row['file']}") as f:
                     start, end, size = row["start"], row["end"], row["size"]
-                    data = f.read_at(min(size, end + _MAX_HEADER + len(_MAGIC)) - start, start)
+                    first = max(0, start - len(_END))
+                    data = f.read_at(min(size, end + _AHEAD) - first, first)
                     at, following = [], []
-                    place = data.find(_MAGIC)
-                    while 0 <= place < end - start:
-                        header = _header(data, place)
+                    place = data.find(_MAGIC, start - first)
+                    while 0 <= place < end - first:
+                        header = None
+                        if first + place == 0 or data[place - len(_END) : place] == _END:
+                            data = _whole_header(f, data, first, place, size)
+                            header = _header(data, place)
                         if header is not None and header[0].get("content-length", "").isdigit():
-                            after = start + header[1] + int(header[0]["content-length"]) + 4
+                            after = first + header[1] + int(header[0]["content-length"]) + 4
                             if after <= size:
-                                inside = after - 4 >= start and after - start <= len(data)
-                                closing = data[after - 4 - start : after - start] if inside else f.read_at(4, after - 4)
-                                if closing == b"\r\n\r\n":
-                                    at.append(start + place)
+                                inside = after - first <= len(data)
+                                closing = data[after - 4 - first : after - first] if inside else f.read_at(4, after - 4)
+                                if closing == _END:
+                                    at.append(first + place)
                                     following.append(after)
                         place = data.find(_MAGIC, place + 1)
                 leaves = dict(zip(at, following))

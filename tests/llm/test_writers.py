@@ -3,6 +3,7 @@ import hashlib
 import math
 import os
 import zlib
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,17 @@ def test_long_chains_over_many_splits(spark):
         assert sorted(got) == list(range(300))
 
 
+def test_long_urls(spark):
+    folder = scratch_dir(spark, "warc")
+    trap = "\r\n\r\nWARC/1.0\r\nContent-Length: 1\r\nX: " + "x" * 150_000
+    pages = [(1, "u", "<p>first"), (2, "http://a/" + "x" * 100_000, "<p>second"), (3, "语" * 30_000, trap), (4, "data:" + "y" * 65_400, ""), (5, "u", "<p>last")]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), folder)
+    assert len([f for f in os.listdir(folder.removeprefix("file:")) if f.endswith(".warc")]) == 1
+    for split in (1000, 70_000, 4 << 20):
+        got = warc.read(spark, folder, split_bytes=split).select("page_id", "url", "payload", "intact").collect()
+        assert sorted((i, unquote(url), bytes(data).decode(), ok) for i, url, data, ok in got) == [(*p, True) for p in pages]
+
+
 def brute_scores(rows, order, mass):
     words = [(t or "").encode().lower().split() + ["</s>"] for _, t in rows]
     counts, base, texts = collections.Counter(), collections.Counter(), 0
