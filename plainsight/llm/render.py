@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from .rows import fields, with_arrays
 
 # The element classes of HTML.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER_SHOWN = set("head title script style template noscript datalist audio video canvas object svg math iframe select textarea area param rp".split())
+_NEVER_SHOWN = set("head title script style template noscript datalist audio video canvas object iframe area param rp".split())
 _SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr form fieldset".split())
 _BLOCK = _SPACED | set(
     "html body address article aside center details dialog dd div dt fieldset figcaption footer header hgroup legend li main menu nav section summary caption tr td th tbody thead tfoot".split()
@@ -23,11 +24,21 @@ _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"},
     "td": {"td", "th", "tr", "tbody", "thead", "tfoot"}, "th": {"td", "th", "tr", "tbody", "thead", "tfoot"},
     "tr": {"tr", "tbody", "thead", "tfoot"}, "tbody": {"tbody", "thead", "tfoot"}, "thead": {"tbody", "thead", "tfoot"}, "tfoot": {"tbody", "thead", "tfoot"},
-    "caption": {"tr", "tbody", "thead", "tfoot", "td", "th"}, "head": {"body"},
+    "caption": {"tr", "tbody", "thead", "tfoot", "td", "th"}, "head": {"body"}, "select": {"select", "input", "textarea"},
 }
 # What an implied end does not reach beyond.
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, **dict.fromkeys("td th tr tbody thead tfoot caption".split(), {"table"})}
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# Drawings and formulas: what is not painted, what holds HTML, what HTML ends them, and whose parts stand apart.
+_UNPAINTED = set("desc metadata defs symbol clippath mask marker pattern filter lineargradient radialgradient annotation annotation-xml mphantom".split())
+_HOLDS_HTML = {"svg": {"foreignobject", "desc", "title"}, "math": set("mi mo mn ms mtext annotation-xml".split())}
+_BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span"
+    " strong strike sub sup table tt u ul var".split()
+)
+_APART = set("mfrac mtable mtr mlabeledtr munder mover munderover".split())
+# Later versions of the parser read the text of these as such.
+_PLAIN_TEXT = {"textarea"} - set(getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ()))
 _MAX_DEPTH = 200
 _MAX_SPAN = 1000
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -37,11 +48,19 @@ _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent", "depth")
+    # ``drawing`` tells what content is: "svg", "text" in it, "math", or "" for HTML.
+    __slots__ = ("tag", "attributes", "children", "parent", "depth", "drawing")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
         self.depth = parent.depth + 1 if parent else 0
+        self.drawing = parent.drawing if parent else ""
+        if tag in _HOLDS_HTML:
+            self.drawing = tag
+        elif tag in _HOLDS_HTML.get(self.drawing, ()):
+            self.drawing = ""
+        elif tag == "text" and self.drawing == "svg":
+            self.drawing = "text"
 
 
 class Tree(HTMLParser):
@@ -53,6 +72,8 @@ class Tree(HTMLParser):
         self.css: list[str] = []
         self.feed(html)
         self.close()
+        if self.cdata_elem in _PLAIN_TEXT:
+            self.handle_data(self.rawdata)
 
     def _open(self, tag: str, *within: str) -> Node | None:
         """The nearest open element with the tag, not beyond one of ``within``."""
@@ -69,6 +90,9 @@ class Tree(HTMLParser):
         self.here = node
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.here.drawing and (tag in _BREAKOUT or tag == "font" and {"color", "face", "size"} & {k for k, _ in attrs}):
+            while self.here.drawing:
+                self.here = self.here.parent
         if tag in ("html", "body") and (tag == "html" or self._open("body")):
             return
         for old, starts in _CLOSED_BY.items():
@@ -85,9 +109,18 @@ class Tree(HTMLParser):
             self.here.children.append(Node(tag, attributes, self.here))
         else:
             self._push(tag, attributes)
+            if tag in _PLAIN_TEXT and not self.here.drawing:
+                self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        # The slash counts in drawings and formulas alone.
+        if self.here.tag == tag and tag not in _VOID and self.here.parent is not None and (tag in _HOLDS_HTML or self.here.parent.drawing):
+            self.here = self.here.parent
+
+    def unknown_decl(self, data: str) -> None:
+        if self.here.drawing and data.startswith("CDATA["):
+            self.handle_data(data[len("CDATA[") :])
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -102,10 +135,30 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.here.tag == "style":
             self.css.append(data)
+        elif self.here.drawing == "svg":
+            pass  # Only text elements are painted.
+        elif self.here.tag in _PLAIN_TEXT:
+            self.here.children.append(unescape(data))
         elif self.here.tag not in ("table", "tbody", "thead", "tfoot", "tr") or data.strip():
             self.here.children.append(data)
 
 
+def _is_block(node: Node) -> bool:
+    return node.tag in _BLOCK or (node.tag == "text" and node.drawing == "text")
+
+
+def _plain(node: Node) -> str:
+    """All text in an element."""
+    found, walk = [], [node]
+    while walk:
+        x = walk.pop()
+        if isinstance(x, str):
+            found.append(x)
+        elif x.tag not in _NEVER_SHOWN:
+            walk.extend(reversed(x.children))
+    return "".join(found)
+
+
 def _hidden_selectors(css: str) -> list[tuple[str, set[str], set[str]]]:
     """Simple selectors (tag, classes, ids) of the rules that hide what they match."""
     found = []
@@ -135,6 +188,8 @@ class Renderer:
         a = node.attributes
         if node.tag in _NEVER_SHOWN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
             return True
+        if node.parent is not None and node.parent.drawing and (node.tag in _UNPAINTED or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+            return True
         if "style" in a and _HIDING.search(a["style"]):
             return True
         if node.parent is not None and node.parent.tag == "details" and "open" not in node.parent.attributes and node.tag != "summary":
@@ -180,9 +235,22 @@ class Renderer:
             elif child.tag == "input":
                 if child.attributes.get("type", "text").lower() in ("submit", "button", "reset"):
                     inline.append(child.attributes.get("value", ""))
-            elif child.tag not in _BLOCK and not any(isinstance(x, Node) and x.tag in _BLOCK for x in child.children):
+            elif child.tag == "select" and not self.listed(child):
+                inline.append(f" {self.chosen(child)} ")
+            elif child.tag in ("select", "textarea"):
+                flush()
+                new = self.options(child) if child.tag == "select" else re.split(r"\r\n?|\n", _plain(child))
+                while new and not new[0].strip():
+                    new.pop(0)
+                while new and not new[-1].strip():
+                    new.pop()
+                add(new, False)
+            elif not _is_block(child) and not any(isinstance(x, Node) and _is_block(x) for x in child.children):
                 # Inline: its content stands in the same line.
-                walk.extend(reversed(child.children))
+                for x in reversed(child.children):
+                    walk += [" ", x] if child.tag in _APART else [x]
+                if child.tag == "tspan" and ("x" in child.attributes or "y" in child.attributes):
+                    inline.append(" ")
             elif child.tag in _VOID:
                 flush()
                 add(["---"] if child.tag == "hr" else [], True)
@@ -209,6 +277,51 @@ class Renderer:
     def number(value: str | None, least: int = 1) -> int:
         return max(least, int(value)) if value and value.strip().isascii() and value.strip().isdigit() else 1
 
+    def listed(self, select: Node) -> bool:
+        """Whether a choice shows its options, not only the chosen one."""
+        return "multiple" in select.attributes or self.number(select.attributes.get("size")) > 1
+
+    @staticmethod
+    def label(option: Node) -> str:
+        return _WHITE.sub(" ", option.attributes.get("label") or _plain(option)).strip(" ")
+
+    def chosen(self, select: Node) -> str:
+        """The option that a closed choice shows, which may be hidden in the list."""
+        first = last = None
+        walk = [(select, False)]
+        while walk:
+            node, off = walk.pop()
+            off = off or (node.tag in ("optgroup", "option") and "disabled" in node.attributes)
+            if node.tag == "option":
+                last = node if "selected" in node.attributes else last
+                first = node if first is None and not off else first
+            else:
+                walk.extend((x, off) for x in reversed(node.children) if isinstance(x, Node))
+        shown = last or first
+        return self.label(shown) if shown else ""
+
+    def options(self, select: Node) -> list[str]:
+        """All options of an open choice, a line each, below the labels of their groups."""
+        found, walk = [], list(reversed(select.children))
+        while walk:
+            node = walk.pop()
+            if isinstance(node, str) or self.hidden(node):
+                continue
+            if node.tag == "option":
+                found.append(self.label(node))
+            else:
+                found += [self.label(node)] if node.tag == "optgroup" and node.attributes.get("label") else []
+                walk.extend(reversed(node.children))
+        return found
+
+    def loose(self, part: Node) -> list[str]:
+        """What stands in a table but in no cell."""
+        if part.tag in ("select", "textarea"):
+            around = Node("div", {}, part.parent)
+            around.children.append(part)
+            return self.block(around)
+        return self.block(part)
+
     def table(self, table: Node) -> list[str]:
         """Rows of cells in columns of even width; spans leave the places they cover empty."""
         self.tables += 1
@@ -226,7 +339,7 @@ class Renderer:
             elif part.tag == "caption":
                 caption += self.block(part)
             elif part.tag not in ("col", "colgroup"):
-                other += self.block(part)
+                other += self.loose(part)
         grid: list[dict[int, list[str]]] = []
         taken: dict[int, int] = {}
         for row in rows:
@@ -239,7 +352,7 @@ class Renderer:
                     other += [cell.strip()] if isinstance(cell, str) and cell.strip() else []
                     continue
                 if cell.tag not in ("td", "th"):
-                    other += self.block(cell)
+                    other += self.loose(cell)
                     continue
                 while column in covered:
                     column += 1
@@ -273,7 +386,10 @@ def render(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``text``, ``n_chars``, ``n_tables`` and ``n_items`` to pages, in place of the html.
 
     All text a reader would see is kept, in order: not scripts, heads, comments, closed
-    details, or what attributes and simple style rules hide. Blocks stand on lines of
+    details, or what attributes and simple style rules hide. A closed choice shows its
+    chosen option, an open one all; text areas keep their lines. Labels of drawings are
+    lines, formulas their symbols in order; text that a drawing shows by reference, and
+    what stands in one-line inputs, is not rendered. Blocks stand on lines of
     their own, paragraphs apart; list items are marked and indented; table cells are
     aligned in columns. A missing or empty page has an empty text. Markup that is not
     closed or nested wrongly is repaired, as deep as 200 elements; text below that

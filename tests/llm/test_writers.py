@@ -210,6 +210,28 @@ def test_rendered(html, text):
     assert render.rendered(html)[0] == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> b", "a x=1 2 b"),
+        ("<math><mtext>for <b>all</b></mtext><mspace/><mi>n</mi></math>", "for alln"),
+        ("<p>a<svg><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs><g>no<path d='x'/><text>one <tspan>two</tspan></text>"
+         "<text>three<tspan x=1>four</tspan></text><text display=none>no</text></g></svg>b", "a\none two\nthree four\nb"),
+        ("<svg><defs/><text><![CDATA[c]]></text><foreignObject><p>html</p></foreignObject></svg>", "c\nhtml"),
+        ("<svg><circle><p>out", "out"),
+        ("x<select><option>a<option selected hidden>b c</select>y", "x b c y"),
+        ("<select><option disabled>a<optgroup label=g disabled><option>b</optgroup><option label=L>c<option>d</select>", "L"),
+        ("<select multiple><optgroup label=G><option>a<option hidden>no</optgroup><option>b</select>z", "G\na\nb\nz"),
+        ("<select size=3><option>a<option>b<input type=submit value=go>", "a\nb\ngo"),
+        ("x<textarea>\n a &lt; <b>\n  c</textarea>y", "x\n a < <b>\n  c\ny"),
+        ("<textarea>not <p>closed &amp;", "not <p>closed &"),
+        ("<table><select><option>s</select><tr><td><textarea>t</textarea><td><svg><text>u</text></svg></table>", "s\nt  u"),
+    ],
+)
+def test_rendered_forms_and_drawings(html, text):
+    assert render.rendered(html)[0] == text
+
+
 def test_render(spark):
     pages = spark.createDataFrame([(1, "<table><tr><td>a</table><ul><li>b", "theirs"), (None, None, None), (1, "x" * 200_000, "")], "page_id long, html string, text string")
     got = [tuple(r) for r in render.render(pages).collect()]
