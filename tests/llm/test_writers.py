@@ -232,6 +232,26 @@ def test_rendered_forms_and_drawings(html, text):
     assert render.rendered(html)[0] == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div hidden><p>no</p>no</div><p>yes", "yes"),
+        ("<table><tr><td>a<td>b<tr><td>cc<td>d</table>", "a   b\ncc  d"),
+        ("<ul><li>a<ol><li>b <i>c</i> d</ol></ul>", "- a\n  1. b c d"),
+    ],
+)
+def test_rendered_below_many_elements(html, text):
+    for tags in ("<font>" * 300, "<b><a>" * 20_000, "<div>" * 199):
+        assert render.rendered(tags + html)[0] == text
+
+
+def test_rendered_at_any_depth():
+    assert render.rendered("<div hidden>" + "<div>" * 3000 + "no")[0] == ""
+    for tags, n in (("<div>x", 30_000), ("<ul><li>x", 3000), ("<blockquote>x", 3000), ("<table><tr><td>x", 3000), ("<p><table><td>x<div>", 3000), ("<svg><g>", 3000)):
+        assert render.rendered(tags * n)[0].count("x") == n * tags.count("x")
+    assert render.rendered("<table><td>a<td>" * 80 + "b")[0] == "a  " * 80 + "b"
+
+
 def test_render(spark):
     pages = spark.createDataFrame([(1, "<table><tr><td>a</table><ul><li>b", "theirs"), (None, None, None), (1, "x" * 200_000, "")], "page_id long, html string, text string")
     got = [tuple(r) for r in render.render(pages).collect()]
