@@ -77,22 +77,35 @@ class PassageIndex:
     def __init__(self, ids: list, texts: list[str], q: int, error_rate: float):
         self.q, self.ids, self.codes, self.budget, self.least = q, [], [], [], []
         grams, owner, place = [], [], []
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
         for id_, text in zip(ids, texts):
             codes, _ = normalised(text.strip())
             m = len(codes)
-            if m < q:
+            if not m:
                 continue
             # Each edit destroys q of the m - q + 1 q-grams at most; one must be left.
-            budget = min(math.floor(error_rate * m), (m - q) // q)
-            grams.append(_grams(codes, q))
-            owner.append(np.full(m - q + 1, len(self.ids)))
-            place.append(np.arange(m - q + 1))
+            budget = min(math.floor(error_rate * m), m - 1)
+            if m >= q and budget <= (m - q) // q:
+                grams.append(_grams(codes, q))
+                owner.append(np.full(m - q + 1, len(self.ids)))
+                place.append(np.arange(m - q + 1))
+            else:
+                # Too short for that: of one piece more than there are edits, one is left whole.
+                cuts = [m * j // (budget + 1) for j in range(budget + 2)]
+                for a, b in zip(cuts, cuts[1:]):
+                    pieces.setdefault(b - a, []).append((int(_grams(codes[a:b], b - a)[0]), len(self.ids), a))
             self.ids.append(id_)
             self.codes.append(codes)
             self.budget.append(budget)
             self.least.append(m - q + 1 - budget * q)
         self.budget, self.least = np.array(self.budget, np.int64), np.array(self.least, np.int64)
-        if not self.ids:
+        self.pieces = {}
+        for size, found in pieces.items():
+            found.sort()
+            keys = np.array([k for k, _, _ in found], np.uint64)
+            self.pieces[size] = (*np.unique(keys, return_index=True, return_counts=True), *np.array([x[1:] for x in found], np.int64).T)
+        self.grams = np.zeros(0, np.uint64)
+        if not grams:
             return
         all_, owner, place = np.concatenate(grams), np.concatenate(owner), np.concatenate(place)
         order = np.argsort(all_, kind="stable")
@@ -109,6 +122,9 @@ class PassageIndex:
         parts = [normalised(t) for t in texts]
         codes = np.concatenate([x for c, _ in parts for x in (c, np.zeros(1, np.uint32))]) if parts else np.zeros(0, np.uint32)
         begin = np.concatenate([[0], np.cumsum([len(c) + 1 for c, _ in parts])]).astype(np.int64)
+        self._find_short(out, parts, codes, begin)
+        if not len(self.grams):
+            return self._sorted(out)
         h = _grams(codes, self.q)
         at = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
@@ -126,7 +142,7 @@ class PassageIndex:
         span = int(cell.max(initial=0)) - low + 2
         cells, counts = np.unique(item * span + cell - low, return_counts=True)
         if not len(cells):
-            return out
+            return self._sorted(out)
         after = np.minimum(np.searchsorted(cells, cells + 1), len(cells) - 1)
         counts = counts + np.where(cells[after] == cells + 1, counts[after], 0)
         hot = cells[counts >= self.least[cells // span]]
@@ -134,15 +150,44 @@ class PassageIndex:
             i = int(run[0] // span)
             budget = int(self.budget[i])
             first, last = (int(run[0] % span) + low) * (budget + 1), (int(run[-1] % span) + low + 2) * (budget + 1)
-            # Bands are counted over all texts in a row; a passage lies in one.
-            one = max(0, int(np.searchsorted(begin, first - budget, "right")) - 1)
-            two = min(len(texts) - 1, int(np.searchsorted(begin, last + budget, "right")) - 1)
-            for doc in range(one, two + 1):
-                found = self._verify(i, parts[doc], first - int(begin[doc]), last - int(begin[doc]))
-                if found is not None:
-                    out[doc].append((self.ids[i], *found))
+            self._add(out, parts, begin, i, first, last)
+        return self._sorted(out)
+
+    @staticmethod
+    def _sorted(out: list[list[tuple]]) -> list[list[tuple]]:
         return [sorted(set(x), key=lambda r: (r[1], r[2], r[0] is None, r[0])) for x in out]
 
+    def _find_short(self, out: list[list[tuple]], parts: list, codes: np.ndarray, begin: np.ndarray) -> None:
+        """Passages of the items too short for the lemma, wherever one of their pieces stands."""
+        items, diagonals = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, (keys, first, count, owner, place) in self.pieces.items():
+            h = _grams(codes, size)
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            at = np.flatnonzero(keys[k] == h)
+            n = count[k[at]]
+            where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[k[at]], n)
+            items.append(owner[where])
+            diagonals.append(np.repeat(at, n) - place[where])
+        item, diagonal = np.concatenate(items), np.concatenate(diagonals)
+        order = np.lexsort((diagonal, item))
+        item, diagonal = item[order], diagonal[order]
+        # Matches of one passage drift by the budget at most.
+        apart = (np.diff(item) != 0) | (np.diff(diagonal) > np.maximum(self.budget[item[1:]], 1))
+        edges = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(item)]]) if len(item) else np.zeros(1, np.int64)
+        for a, b in zip(edges, edges[1:]):
+            self._add(out, parts, begin, int(item[a]), int(diagonal[a]), int(diagonal[b - 1]))
+
+    def _add(self, out: list[list[tuple]], parts: list, begin: np.ndarray, i: int, first: int, last: int) -> None:
+        """Verify an item on the diagonals from ``first`` to ``last``, in each text that they reach."""
+        # Diagonals are counted over all texts in a row; a passage lies in one.
+        budget = int(self.budget[i])
+        one = max(0, int(np.searchsorted(begin, first - budget, "right")) - 1)
+        two = min(len(parts) - 1, int(np.searchsorted(begin, last + budget, "right")) - 1)
+        for doc in range(one, two + 1):
+            found = self._verify(i, parts[doc], first - int(begin[doc]), last - int(begin[doc]))
+            if found is not None:
+                out[doc].append((self.ids[i], *found))
+
     def _verify(self, i: int, part: tuple[np.ndarray, np.ndarray], first: int, last: int) -> tuple[int, int, int] | None:
         codes, places = part
         item, budget = self.codes[i], int(self.budget[i])
@@ -183,14 +228,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, q: int = 8, error_rate: float =
     in lower case, white space as one space). By the q-gram lemma a region with so few
     edits shares a least number of q-grams with the item, on diagonals as far apart as
     there are edits. Shared q-grams are counted in overlapping bands of diagonals, and
-    bands that reach the number are verified by an alignment within the band. ``start``
-    and ``end`` are character positions in the text as given.
+    bands that reach the number are verified by an alignment within the band. Items too
+    short for that are looked for by pieces, also inside words. ``start`` and ``end`` are character positions in the text as given.
 
     Items go to the tasks in blocks of about ``block_chars`` characters, and each block
     is one pass over the documents, without a shuffle: benchmarks do not grow with the
     corpus, and a large one takes more passes, not more memory. A missing text holds
-    nothing; items that are missing or shorter than ``q`` are not looked for; equal items
-    under two ids are found under both. A column named ``found`` is replaced.
+    nothing; items that are missing or empty are not looked for; equal items under two ids are found under both. A column named ``found`` is replaced.
     """
     added = fields(_FOUND)
     kept = others(docs, added.fieldNames())

@@ -129,6 +129,31 @@ def test_passages_against_alignment():
     assert hits > 50
 
 
+def test_short_passages():
+    rng = random.Random(4)
+    items = ["q", "zw", "seven 7", "eight888", "twelve chars", "thirteen char", "fourteen chars", "fifteen chars x", "sixteen chars xy", " "]
+    index = decontaminate.PassageIndex(list(range(10)), items, 8, 0.08)
+    docs, hits = [""], 0
+    for _ in range(200):
+        item = list(rng.choice(items))
+        for _ in range(rng.randint(0, 2)):
+            at, kind = rng.randrange(len(item) + 1), rng.random()
+            item[at : at + (kind < 0.7)] = [rng.choice("abc ")] if kind < 0.4 or kind >= 0.7 else []
+        docs.append(rng.choice(["", "ab ", "x" * 50]) + "".join(item) + rng.choice(["", " ba"]))
+    for doc, found in zip(docs, index.find(docs)):
+        text = "".join(map(chr, decontaminate.normalised(doc)[0]))
+        best = {}
+        for i, start, end, edits in found:
+            best[i] = min(edits, best.get(i, edits))
+            assert 0 <= start < end <= len(doc)
+        want = {i: semi_global(x, text) for i, x in enumerate(items) if x.strip()}
+        want = {i: n for i, n in want.items() if n <= int(0.08 * len(items[i]))}
+        assert best == want
+        hits += len(want)
+    assert hits > 100
+    assert index.find(["a zw", "zw zw"]) == [[(1, 2, 4, 0)], [(1, 0, 2, 0), (1, 3, 5, 0)]]
+
+
 def test_decontamination(spark, corpus):
     items = [(1, "The quick brown fox jumps over the lazy dog near the river bank."), (2, None), (3, "short"), (None, "An item without an identifier, found all the same, of course."), (1, "")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
