@@ -18,6 +18,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 # Key spaces: tokens are counted for the vocabulary, other grams are not.
 _TOKENS, _GRAMS = 0, 1
+# A block counts less than 2 ** 32 of a key, all blocks together maybe more.
+_COUNT, _TOTAL = "<u4", "<u8"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -30,6 +32,15 @@ def _unplaned(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
+def _totals(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], int, int]:
+    """For the keys of each block what all blocks counted, and how many keys occur, and how often."""
+    keys_ = [np.cumsum(_unplaned(k, "<u8"), dtype=np.uint64) for k in keys]
+    _, back = np.unique(np.concatenate(keys_), return_inverse=True)
+    total = np.bincount(back, weights=np.concatenate([_unplaned(c, _COUNT) for c in counts])).astype(_TOTAL)
+    replies = np.split(total[back], np.cumsum([len(k) for k in keys_])[:-1])
+    return [_planes(r) for r in replies], int((total > 0).sum()), int(total.sum(dtype=np.int64))
+
+
 class Grams:
     """The n-grams of some texts: distinct keys of both kinds, and which one ends at each token.
 
@@ -179,7 +190,7 @@ def score(
     def emit(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         grams = Grams(table["text"].chunk(0), order)
-        counts = grams.counts(table["train"].to_numpy()).astype("<u4")
+        counts = grams.counts(table["train"].to_numpy()).astype(_COUNT)
         out = []
         for kind, keys, own in ((_TOKENS, grams.tokens, counts[: len(grams.tokens)]), (_GRAMS, grams.grams, counts[len(grams.tokens) :])):
             part = (keys >> np.uint64(32)) * parts >> np.uint64(32)
@@ -190,15 +201,11 @@ def score(
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["kind", "part", "block", "keys", "counts"])
 
     def add_up(table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unplaned(k, "<u8"), dtype=np.uint64) for k in table["keys"].to_pylist()]
-        counts = [_unplaned(c, "<u4") for c in table["counts"].to_pylist()]
-        _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate(counts)).astype("<u4")
-        replies = np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])
+        replies, n_types, n_tokens = _totals(table["keys"].to_pylist(), table["counts"].to_pylist())
         m = table.num_rows
         # Once per part: its types and tokens.
-        types, sum_ = [int((total > 0).sum())] + [0] * (m - 1), [int(total.sum(dtype=np.int64))] + [0] * (m - 1)
-        columns = [table["kind"].combine_chunks(), table["part"].combine_chunks(), table["block"].combine_chunks(), pa.array([_planes(r) for r in replies], pa.binary()), pa.array(types, pa.int64()), pa.array(sum_, pa.int64())]
+        types, sum_ = [n_types] + [0] * (m - 1), [n_tokens] + [0] * (m - 1)
+        columns = [table["kind"].combine_chunks(), table["part"].combine_chunks(), table["block"].combine_chunks(), pa.array(replies, pa.binary()), pa.array(types, pa.int64()), pa.array(sum_, pa.int64())]
         return pa.Table.from_arrays(columns, names=["kind", "part", "block", "totals", "types", "tokens"])
 
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -214,7 +221,7 @@ def score(
         table = table.combine_chunks()
         grams = Grams(table["text"].chunk(0), order)
         reply = reply.sort_by([("kind", "ascending"), ("part", "ascending")])
-        counts = np.concatenate([_unplaned(t, "<u4") for t in reply["totals"].to_pylist()]).astype(np.int64)
+        counts = np.concatenate([_unplaned(t, _TOTAL) for t in reply["totals"].to_pylist()]).astype(np.int64)
         total, base, known = Automaton(grams, counts, tokens, types, mass).scores()
         columns = [table["id"].combine_chunks(), pa.array(np.diff(grams.starts)), pa.array(known), pa.array(np.full(len(total), tokens, np.int64)), pa.array(base), pa.array(total)]
         return pa.Table.from_arrays(columns, names=names)

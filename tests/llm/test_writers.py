@@ -189,6 +189,14 @@ def test_language_model(spark, corpus):
     assert untrained["train_tokens"] == 0 and untrained["n_known"] == 0
 
 
+def test_totals_beyond_32_bits():
+    planes = lambda x, kind: language_model._planes(np.array(x, kind))
+    keys, counts = [[5, 4], [9], [5, 9]], [[3 << 30, 1], [2], [3 << 30, 0]]
+    replies, types, tokens = language_model._totals([planes(k, "<u8") for k in keys], [planes(c, "<u4") for c in counts])
+    assert [language_model._unplaned(r, language_model._TOTAL).tolist() for r in replies] == [[6 << 30, 3], [3], [6 << 30, 0]]
+    assert (types, tokens) == (2, (6 << 30) + 3)
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
