@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir, tune
 from ..tables import Tables
-from . import caps, decontaminate, language_model, lines, minhash, packing, render, token_store, toxicity, warc
+from . import caps, decontaminate, language_model, lines, minhash, packing, render, token_store, toxicity, warc, whitening
 from .rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,8 @@ def op9_minhash_near_dedup(t):
 def op10_line_dedup(t):
     kept = lines.drop_common_lines(t.documents.select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op13_whitening(t):
+    return whitening.whiten(t.embeddings.select("vec_id", "embedding"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 
@@ -37,8 +39,27 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and where each text's words start (one more entry than texts).
+def byte_class(*ranges: tuple[int, int], inside: bool = True) -> np.ndarray:
+    """Which of the 256 bytes lie in the ranges (ends included), or in none of them."""
+    table = np.full(256, not inside)
+    for first, last in ranges:
+        table[first : last + 1] = inside
+    return table
+
+
+@dataclass(frozen=True)
+class Words:
+    """All words of some texts: lowered bytes, where words start and end there, hashes, and texts' first words."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    at: np.ndarray
+
+
+def tokenized(texts: pa.Array, in_word: np.ndarray = _IN_WORD) -> Words:
+    """The words of texts, runs of bytes that ``in_word`` holds; words of two texts never touch.
 
     A-Z are lowered. A missing text has no words. A word's hash is a polynomial of its
     bytes, taken from running sums over all texts, and mixed.
@@ -48,9 +69,10 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     low, n = int(offsets[0]), int(offsets[-1] - offsets[0])
     offsets = offsets - low
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint8), none, none, np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
     data = _LOWERED[np.frombuffer(texts.buffers()[2], np.uint8)[low : low + n]]
-    inside = _IN_WORD[data]
+    inside = in_word[data]
     breaks = np.zeros(n + 1, bool)
     breaks[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) & ~breaks[:n]
@@ -59,7 +81,13 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_BASE, n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _powers(_INVERSE, n)[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+    return Words(data, starts, ends, mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets))
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and where each text's words start (one more entry than texts)."""
+    words = tokenized(texts)
+    return words.hashes, words.at
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
