@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir, tune
 from ..tables import Tables
-from . import caps, decontaminate, language_model, lines, minhash, packing, render, token_store, toxicity, warc, whitening
+from . import caps, decontaminate, language_model, licenses, lines, minhash, packing, render, token_store, toxicity, warc, whitening
 from .rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ def op10_line_dedup(t):
 @query()
 def op13_whitening(t):
     return whitening.whiten(t.embeddings.select("vec_id", "embedding"))
+
+
+@query()
+def op11_license_scan(t):
+    return licenses.digest(licenses.find(t.documents.select("doc_id", "text")))
