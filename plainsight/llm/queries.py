@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir, tune
 from ..tables import Tables
-from . import caps, decontaminate, language_model, licenses, lines, minhash, packing, render, token_store, toxicity, warc, whitening
+from . import caps, collocations, decontaminate, language_model, licenses, lines, minhash, packing, render, token_store, toxicity, warc, whitening
 from .rows import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +146,43 @@ def op10_line_dedup(t):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query(
+    r"""
+    with p as (
+      select coalesce(lang, 'und') as lang,
+             unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+      from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+    totals as (select lang, sum(len(w)) as n from w group by lang),
+    g as (
+      select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+      from w, (values (1), (2), (3), (4), (5)) as sizes(k)
+      where len(w) >= k),
+    f as (select lang, k, phrase, count(*) as a from g group by lang, k, phrase having count(*) >= 100),
+    c as (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k > 1),
+    cuts as (
+      select c.lang, c.k, c.phrase, c.a, c.w, x.a as l, y.a as r, n, split_at, (1000::hugeint * c.a * n) // (x.a::hugeint * y.a) as score
+      from c join totals using (lang)
+      cross join (values (1), (2), (3), (4)) as cut(split_at)
+      join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:split_at], ' ')
+      join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[split_at + 1:c.k], ' ')
+      where split_at < c.k),
+    lowest as (select *, row_number() over (partition by lang, phrase order by score, split_at) as nth from cuts),
+    inner_ as (
+      select distinct c.lang, array_to_string(c.w[i:j], ' ') as phrase, c.a
+      from c cross join (values (1), (2), (3), (4)) as s(i) cross join (values (2), (3), (4), (5)) as e(j)
+      where i < j and j <= c.k and j - i + 1 < c.k),
+    alive as (
+      select * from lowest
+      where nth = 1 and not exists (from inner_ where inner_.lang = lowest.lang and inner_.phrase = lowest.phrase and 100 * inner_.a >= 100 * lowest.a)),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from alive)
+    select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000
+    """
+)
+def op12_collocations(t):
+    return collocations.mine(t.documents)
+
+
 @query()
 def op13_whitening(t):
     return whitening.whiten(t.embeddings.select("vec_id", "embedding"))
