@@ -157,7 +157,7 @@ def ntd_energy_clean(t):
 
 @query(
     "ntd_energy_sample",
-    "with " + _ENERGY + f"select ntd_id, mode, agency, {', '.join(FUELS)} from energy order by md5('42|' || ntd_id || '|' || mode) limit 10",
+    "with " + _ENERGY + f"select ntd_id, mode, agency, {', '.join(FUELS)} from energy order by md5('42|' || cast(ntd_id as bigint) || '|' || mode) limit 10",
 )
 def ntd_energy_sample(t):
     return sample_n(_energy(t), 10, ["ntd_id", "mode"])

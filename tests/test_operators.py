@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -233,3 +234,47 @@ def test_sample_is_stable(spark):
     rows = spark.range(100)
     assert values(R.sample_n(rows, 5, ["id"])) == values(R.sample_n(rows.repartition(9), 5, ["id"]))
     assert values(R.sample_n(rows, 5, ["id"], seed=1)) != values(R.sample_n(rows, 5, ["id"], seed=2))
+
+
+def test_sample_does_not_depend_on_the_type_of_its_key(spark):
+    rows = spark.range(300).select((F.col("id") * 1_000_003 + 9_000_000_000).alias("id"))
+    want = [r[0] for r in R.sample_n(rows, 20, ["id"]).collect()]
+    assert max(want) > 10**9
+    for kind in ("double", "decimal(20,2)", "string"):
+        assert [int(r[0]) for r in R.sample_n(rows.select(F.col("id").cast(kind).alias("id")), 20, ["id"]).collect()] == want
+    small = spark.range(50).select(F.col("id").cast("float").alias("id"))
+    assert [int(r[0]) for r in R.sample_n(small, 5, ["id"]).collect()] == [r[0] for r in R.sample_n(spark.range(50), 5, ["id"]).collect()]
+    missing = spark.createDataFrame([(None,), (1.0,)], "id double")
+    assert R.sample_n(missing, 5, ["id"]).count() == 2
+    with pytest.raises(Exception, match="no whole number"):
+        R.sample_n(spark.createDataFrame([(1.5,), (2.0,)], "id double"), 1, ["id"]).collect()
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_ties_per_group_without_a_window(spark, largest):
+    rng = random.Random(7)
+    groups = ["a", "b", None, "", "c"]
+    rows = [(rng.choice(groups), rng.choice([1, None]), rng.choice([None, float("nan"), 0.0, -0.0, *map(float, range(6))])) for _ in range(2000)]
+    rows += [("hot", 1, 5.0)] * 1000 + [("few", 1, 1.0), ("none", 1, None), ("none", 1, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, h int, v double").repartition(7)
+    for n in (1, 3, 40, 5000):
+        found = R.top_per_group_ties(df, ["g", "h"], "v", n, largest)
+        assert "Window" not in plan_of(found)
+        by_group = {}
+        for g, h, v in rows:
+            by_group.setdefault((g, h), []).append(None if v is None or v != v else v + 0.0)
+        want = Counter()
+        for key, own in by_group.items():
+            order = sorted(own, key=lambda v: (v is None, 0 if v is None else -v if largest else v))
+            last = order[min(n, len(order)) - 1]
+            inside = [v for v in own if last is None or (v is not None and (v >= last if largest else v <= last))]
+            want.update((*key, v) for v in inside)
+        got = Counter((g, h, None if v is None or v != v else v + 0.0) for g, h, v in values(found))
+        assert got == want
+    assert R.top_per_group_ties(df.limit(0), ["g"], "v", 3).count() == 0
+
+
+def test_ties_of_text_and_of_whole_numbers(spark):
+    df = spark.createDataFrame([("a", "x", 3), ("a", "y", 3), ("a", "z", 9), ("b", None, None)], "g string, s string, i int")
+    assert sorted(values(R.top_per_group_ties(df, ["g"], "i", 2), "g", "i"), key=str) == [("a", 3), ("a", 3), ("a", 9), ("b", None)]
+    assert sorted(values(R.top_per_group_ties(df, ["g"], "s", 1), "g", "s"), key=str) == [("a", "z"), ("b", None)]
