@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.nested import rectangle
 from ..operators.ranking import top_n
 from ..operators.reshape import stack
 from ..session import scratch_dir
-from ..sources import delimited, documents, fanout, html, paged
+from ..sources import delimited, documents, fanout, html, paged, split_documents
 from ..streaming.landing import drain
 from .registry import query
 
@@ -29,8 +30,6 @@ def csv_roundtrip(t):
     """,
 )
 def json_doc_rectangle(t):
-    from ..operators.nested import rectangle
-
     words = F.split("text", " ")
     tracks = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("track_name")))
     playlist = F.struct(
@@ -42,6 +41,38 @@ def json_doc_rectangle(t):
     return rows.select("name", "pid", "num_followers", "track_name", F.col("position").cast("long").alias("position"))
 
 
+@query(
+    "json_split_documents",
+    """
+    with d as (select source as name, doc_id as pid, n_chars as num_followers, string_split(text, ' ') as w from documents)
+    select name, pid, num_followers, unnest(w) as track_name,
+           cast(generate_subscripts(w, 1) as bigint) as position
+    from d
+    """,
+)
+def json_split_documents(t):
+    """The same rows through one large document per slice, which many tasks read."""
+    words = F.split("text", " ")
+    tracks = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("track_name")))
+    playlist = F.struct(
+        F.col("source").alias("name"), F.col("doc_id").alias("pid"), F.col("n_chars").alias("num_followers"), tracks.alias("tracks")
+    )
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = t.spark.range(n).select(F.col("id").cast("int").alias("slice"))
+    head = slices.select("slice", F.lit(0).alias("part"), F.lit('{"info": {"slice": "[{"}, "playlists": [null').alias("value"))
+    body = t.documents.select(
+        F.pmod("doc_id", F.lit(n)).cast("int").alias("slice"), F.lit(1).alias("part"), F.concat(F.lit(", "), F.to_json(playlist)).alias("value")
+    )
+    tail = slices.select("slice", F.lit(2).alias("part"), F.lit("]}").alias("value"))
+    path = scratch_dir(t.spark, "slices")
+    lines = head.union(body).union(tail).repartition(n, "slice").sortWithinPartitions("slice", "part")
+    lines.select("slice", "value").write.partitionBy("slice").text(path)
+    elements, _ = split_documents.read_elements(t.spark, path, "playlists", documents.PLAYLIST)
+    docs = elements.select(F.array(F.struct("name", "pid", "num_followers", "tracks")).alias("playlists"))
+    rows = rectangle(docs, "playlists", ["name", "pid", "num_followers"], "tracks")
+    return rows.select("name", "pid", "num_followers", "track_name", F.col("position").cast("long").alias("position"))
+
+
 @query(
     "json_quarantine",
     """

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORRUPT = "_corrupt_record"
 
-PLAYLIST_DOCUMENT = (
-    "playlists array<struct<name: string, pid: bigint, num_followers: bigint, tracks: array<struct<"
+PLAYLIST = (
+    "name string, pid bigint, num_followers bigint, tracks array<struct<"
     "pos: int, artist_name: string, artist_uri: string, track_name: string, track_uri: string, "
-    "album_name: string, album_uri: string, duration_ms: bigint>>>>"
+    "album_name: string, album_uri: string, duration_ms: bigint>>"
 )
+PLAYLIST_DOCUMENT = f"playlists array<struct<{PLAYLIST}>>"
+
+
+def _one_object(value: str) -> Column:
+    """Whether nothing but white space follows the first object of a text.
+
+    The parser stops at the end of an object. Put into another one, the text must leave
+    it open, so that the field after it is read; that holds the text's own hash.
+    """
+    own = F.xxhash64(value)
+    around = F.concat(F.lit('{"value": '), value, F.lit(', "end": '), own.cast("string"), F.lit("}"))
+    return F.from_json(around, "end bigint")["end"] == own
 
 
 def _judged(texts: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -20,18 +32,32 @@ def _judged(texts: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options)
     judged = texts.withColumn("_doc", parsed)
     # Records that parse to nothing, such as null, arrays and numbers, have no object to start with.
-    good = F.ltrim("value").startswith("{") & F.col("_doc").isNotNull() & F.col(f"_doc.{CORRUPT}").isNull()
+    good = F.ltrim("value").startswith("{") & F.col("_doc").isNotNull() & F.col(f"_doc.{CORRUPT}").isNull() & _one_object("value")
     ok = F.coalesce(good, F.lit(False))
     return judged.where(ok).select("_doc.*").drop(CORRUPT), judged.where(~ok).drop("_doc")
 
 
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files of no bytes, which Spark lists but does not open: (``file``)."""
+
+    def plain(c):
+        return F.regexp_replace(c, "^file:/+", "file:///")
+
+    text = spark.read.text(path)
+    listed = spark.createDataFrame([(f,) for f in text.inputFiles()], "file string")  # the driver holds this list anyway
+    opened = text.select(plain(F.col("_metadata.file_path")).alias("file")).distinct()
+    return listed.select(plain("file").alias("file")).join(opened, "file", "left_anti")
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Documents, one per JSON file over any number of lines, and unreadable files (``file``, ``value``).
 
-    Files of no bytes at all are on neither side, as Spark does not open them.
+    A file is one value of one task; for large ones see :mod:`split_documents`. Files of
+    no bytes have an empty value.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return _judged(files, schema)
+    good, bad = _judged(files, schema)
+    return good, bad.unionByName(empty_files(spark, path).select("file", F.lit("").alias("value")))
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
