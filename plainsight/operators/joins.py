@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_col
+from ..functions.once import once
 from ..functions.similarity import jaro_once
 from ..session import checkpointed, stored
 
@@ -167,14 +168,15 @@ def _letters(c: Column) -> Column:
     occurrences are rarer than first ones, so they lead the order. An empty text
     gets a number of its own, to meet other empty texts.
     """
-    chars = F.split(c, "")
-    numbered = F.transform(
-        chars,
-        lambda ch, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda other: other == ch)).cast("long")
-        * F.lit(1 << 21)
-        + F.ascii(ch),
-    )
-    return F.when(F.length(c) == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sort_array(numbered, asc=False))
+
+    def numbered(chars: Column) -> Column:
+        def number(ch: Column, i: Column) -> Column:
+            seen = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda other: other == ch))
+            return seen.cast("long") * F.lit(1 << 21) + F.ascii(ch)
+
+        return F.sort_array(F.transform(chars, number), asc=False)
+
+    return F.when(F.length(c) == 0, F.array(F.lit(0).cast("long"))).otherwise(once(F.split(c, ""), numbered))
 
 
 def _shared_at_least(la: Column, lb: Column, similarity: float) -> Column:
