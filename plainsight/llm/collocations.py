@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,28 +59,39 @@ class Windows:
         w = self.words
         return b" ".join(w.data[w.starts[i] : w.ends[i]].tobytes() for i in range(start, start + size)).decode()
 
+    def texts(self, places: np.ndarray) -> pa.Array:
+        """The words at these places."""
+        w = self.words
+        size = w.ends[places] - w.starts[places]
+        ends = np.cumsum(size)
+        data = w.data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(w.starts[places] - ends + size, size)]
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_string(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
 
 class Filter:
-    """A table of ``2 ** bits`` bits: keys put in are found again, a few others too. Its size does not depend on the keys."""
+    """A table of bits: keys put in are found again, a few others too."""
 
     def __init__(self, table: np.ndarray):
         self.table, self.mask = table, np.uint64(len(table) * 8 - 1)
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.has(np.array([key], np.uint64))[0])
-
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = keys & self.mask
         return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def filter_of(keys: DataFrame, bits: int) -> Filter:
-    """A filter of the keys in the first column: tasks build its pieces of 4 KB, the driver puts those together."""
+def filter_of(keys: DataFrame, most_bits: int) -> Filter:
+    """A filter of the keys in the first column: tasks build its pieces of 4 KB, the driver puts those together.
+
+    Sixteen bits a key, up to ``2 ** most_bits`` whatever the number of keys: beyond that
+    more other keys are found.
+    """
+    bits = min(most_bits, max(15, (16 * keys.count()).bit_length()))
     place = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << bits) - 1)) + 1
     pieces = keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     table = np.zeros((1 << bits) // 8, np.uint8)
-    for at, piece in pieces.collect():  # at most 2 ** bits / 32,768 rows
-        table[(at - 1) * 4096 : at * 4096] = np.frombuffer(piece, np.uint8)[: len(table) - (at - 1) * 4096]
+    for at, piece in pieces.collect():  # at most 2 ** most_bits / 32,768 rows
+        table[(at - 1) * 4096 : at * 4096] = np.frombuffer(piece, np.uint8)
     return Filter(table)
 
 
@@ -102,35 +114,42 @@ def _each_task(texts: DataFrame, schema: str, f: Callable[[], tuple[Callable, Ca
     return texts.mapInArrow(run, schema)
 
 
-def word_counts(texts: DataFrame, held: int = 1 << 21) -> DataFrame:
-    """How often each word occurs in each language: (``lang``, ``key``, ``n``), and with a null key all its words."""
-    names = ["lang", "key", "n"]
+def word_counts(texts: DataFrame, held: int = 1 << 19) -> DataFrame:
+    """How often each word occurs in each language: (``lang``, ``key``, ``n``, ``word``), and with a null key all its words.
+
+    A task emits each word once for some ``held`` distinct words of its texts.
+    """
+    names = ["lang", "key", "n", "word"]
 
     def begin():
-        chunks: dict[str, list[np.ndarray]] = {}
+        chunks: dict[str, list[tuple[np.ndarray, np.ndarray, pa.Array]]] = {}
 
         def flush():
             for lang, own in chunks.items():
-                keys, n = np.unique(np.concatenate(own), return_counts=True)
+                keys, n, words = zip(*own)
+                keys, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+                n = np.bincount(back, weights=np.concatenate(n), minlength=len(keys)).astype(np.int64)
                 key = pa.concat_arrays([_signed(keys), pa.nulls(1, pa.int64())])
-                counts = pa.array(np.concatenate([n, [n.sum()]]))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), key, counts], names=names)
+                word = pa.concat_arrays([pa.concat_arrays(words).take(pa.array(at)), pa.nulls(1, pa.large_string())]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), key, pa.array(np.append(n, n.sum())), word], names=names)
             chunks.clear()
 
         def take(windows: Windows):
             for i, lang in enumerate(windows.langs):
-                own = windows.keys[0][windows.lang == i]
+                own = np.flatnonzero(windows.lang == i)
                 if len(own):
-                    chunks.setdefault(lang, []).append(own)
-            if sum(len(k) for own in chunks.values() for k in own) > held:
+                    keys, at, n = np.unique(windows.keys[0][own], return_index=True, return_counts=True)
+                    chunks.setdefault(lang, []).append((keys, n, windows.texts(own[at])))
+            if sum(len(k) for own in chunks.values() for k, _, _ in own) > held:
                 yield from flush()
 
         return take, flush
 
-    return _each_task(texts, "lang string, key long, n long", begin).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counts = _each_task(texts, "lang string, key long, n long, word string", begin)
+    return counts.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.min("word").alias("word"))
 
 
-def phrase_counts(texts: DataFrame, size: int, ends: Filter, words: Filter, shorter: Filter, min_count: int, held: int = 1 << 21) -> DataFrame:
+def phrase_counts(texts: DataFrame, size: int, ends: Broadcast, words: Broadcast, shorter: Broadcast, min_count: int, held: int = 1 << 20) -> DataFrame:
     """Phrases of ``size`` words that occur ``min_count`` times or more and start or end with a word in ``ends``.
 
     A phrase can be that frequent only where both phrases of one word less are. Those
@@ -138,11 +157,9 @@ def phrase_counts(texts: DataFrame, size: int, ends: Filter, words: Filter, shor
     last words are in ``words``; windows without are not emitted. A task emits each
     phrase once for some ``held`` windows.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((ends, words, shorter))  # three tables of a fixed size
     names = ["p", "s", "n"]
 
     def begin():
-        ends, words, shorter = shared.value
         chunks: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
@@ -159,7 +176,7 @@ def phrase_counts(texts: DataFrame, size: int, ends: Filter, words: Filter, shor
             if not len(start):
                 return
             # Per word once, then by place.
-            end, known = ends.has(word), words.has(word)
+            end, known = ends.value.has(word), words.value.has(word)
             first, last = end[start], end[start + size - 1]
             keep = (first | last) & known[start] & known[start + size - 1]
             start, first, last = start[keep], first[keep], last[keep]
@@ -167,7 +184,7 @@ def phrase_counts(texts: DataFrame, size: int, ends: Filter, words: Filter, shor
                 # A part was counted where one of its own ends let it in.
                 inner, from_second = end[start + size - 2], end[start + 1]
                 p, s = parts[start], parts[start + 1]
-                keep = (~(first | inner) | shorter.has(p)) & (~(last | from_second) | shorter.has(s))
+                keep = (~(first | inner) | shorter.value.has(p)) & (~(last | from_second) | shorter.value.has(s))
                 start = start[keep]
             chunks.append((parts[start], parts[start + 1]))
             if sum(len(p) for p, _ in chunks) > held:
@@ -183,36 +200,11 @@ def _keys(p: pa.Array, s: pa.Array) -> list[pa.Array]:
     return [_signed(longer_key(p.to_numpy().view(np.uint64), s.to_numpy().view(np.uint64)))]
 
 
-def phrase_texts(texts: DataFrame, wanted: DataFrame, max_words: int, bits: int) -> DataFrame:
-    """The words of the phrases with the keys ``p`` and ``s`` of ``wanted``, as text: (``p``, ``s``, ``phrase``)."""
-    shared = texts.sparkSession.sparkContext.broadcast(filter_of(wanted.select("key"), bits))  # of a fixed size
-
-    def begin():
-        look = shared.value
-        seen: set[int] = set()
-
-        def take(windows: Windows):
-            out = []
-            for size in range(2, max_words + 1):
-                start, keys = windows.of(size)
-                start = start[look.has(keys[start])]
-                _, first = np.unique(keys[start], return_index=True)
-                parts = windows.keys[size - 2]
-                for i in start[first].tolist():
-                    key = int(keys[i])
-                    if key not in seen:
-                        seen.add(key)
-                        out.append((parts[i], parts[i + 1], windows.phrase(i, size)))
-            if len(seen) > 1 << 20:
-                seen.clear()
-            if out:
-                p, s, phrase = zip(*out)
-                yield pa.RecordBatch.from_arrays([_signed(np.array(p, np.uint64)), _signed(np.array(s, np.uint64)), pa.array(phrase, pa.string())], names=["p", "s", "phrase"])
-
-        return take, lambda: iter(())
-
-    found = _each_task(texts, "p long, s long, phrase string", begin)
-    return found.join(wanted.select("p", "s"), ["p", "s"], "left_semi").groupBy("p", "s").agg(F.min("phrase").alias("phrase"))
+def named(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """The phrases with their text, from the texts of their words."""
+    each = phrases.select("p", "s", F.posexplode("words").alias("at", "key")).join(words.select("key", "word"), "key")
+    texts = each.groupBy("p", "s").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("own"))
+    return phrases.drop("words").join(texts.select("p", "s", F.array_join("own.word", " ").alias("phrase")), ["p", "s"])
 
 
 def first_rows(df: DataFrame, group: str, n: int, order: Sequence[Column]) -> DataFrame:
@@ -231,24 +223,23 @@ def _scored(levels: dict[int, DataFrame], words: DataFrame, max_words: int) -> D
     phrases of one word less and one more.
     """
     none = F.array().cast("array<long>")
-    shorter = words.select("key", "n", "lang", "total", F.col("inside").alias("first"), F.col("inside").alias("last"), none.alias("before"), none.alias("after"))
-    shorter_n = 1
+    shorter = words.select("key", "n", "lang", "total", F.col("inside").alias("first"), F.col("inside").alias("last"), none.alias("before"), none.alias("after"), F.array("key").alias("words"))
     out = None
     for size in range(2, max_words + 1):
-        p = shorter.select(F.col("key").alias("p"), F.col("n").alias("p_n"), F.col("lang").alias("p_lang"), F.col("total").alias("p_total"), "first", "before")
-        s = shorter.select(F.col("key").alias("s"), F.col("n").alias("s_n"), F.col("lang").alias("s_lang"), F.col("total").alias("s_total"), "last", "after")
+        p = shorter.select(F.col("key").alias("p"), F.col("n").alias("p_n"), F.col("lang").alias("p_lang"), F.col("total").alias("p_total"), "first", "before", F.col("words").alias("p_words"))
+        s = shorter.select(F.col("key").alias("s"), F.col("n").alias("s_n"), F.col("lang").alias("s_lang"), F.col("total").alias("s_total"), "last", "after", F.col("words").alias("s_words"))
         rows = levels[size].join(p, "p", "left").join(s, "s", "left").select(
             "key", "p", "s", "n", F.coalesce("p_lang", "s_lang").alias("lang"), F.coalesce("p_total", "s_total").alias("total"),
             F.coalesce("first", F.lit(False)).alias("first"), F.coalesce("last", F.lit(False)).alias("last"),
             F.concat("before", F.array("p_n")).alias("before"), F.concat(F.array("s_n"), "after").alias("after"),
+            F.concat("p_words", F.slice("s_words", -1, 1)).alias("words"),
         )
-        shorter, shorter_n = stored(rows, f"parts-{size}"), size
+        shorter = stored(rows, f"parts-{size}")
         alive = shorter.where("first and last")
         if size < max_words:
             longer = levels[size + 1]
             same = longer.select(F.col("p").alias("key"), "n").union(longer.select(F.col("s").alias("key"), "n"))
             alive = alive.join(same, ["key", "n"], "left_anti")
-        alive = alive.withColumn("words", F.lit(shorter_n))
         out = alive if out is None else out.unionByName(alive)
     exact = "cast({} as decimal(38,0))"
     cut = (
@@ -256,7 +247,7 @@ def _scored(levels: dict[int, DataFrame], words: DataFrame, max_words: int) -> D
         f"'score', {exact.format('n')} * {exact.format('1000')} * {exact.format('total')} div ({exact.format('before[k]')} * {exact.format('after[k]')}), 'k', k)))"
     )
     return out.withColumn("cut", F.expr(cut)).select(
-        "lang", "key", "p", "s", F.col("n").alias("a"), F.expr("before[cut.k]").alias("l"), F.expr("after[cut.k]").alias("r"),
+        "lang", "key", "p", "s", "words", F.col("n").alias("a"), F.expr("before[cut.k]").alias("l"), F.expr("after[cut.k]").alias("r"),
         F.col("total").alias("n"), F.col("cut.score").alias("score"),
     )
 
@@ -291,8 +282,8 @@ def mine(
     survivors, which settles it.
 
     Each level counts windows in tasks and adds the counts up by phrase. Tasks know
-    frequent parts from tables of ``2 ** filter_bits`` bits, whose size is fixed;
-    beyond some 10 million phrases they let more windows pass, and results stay exact.
+    frequent parts from tables of at most ``2 ** filter_bits`` bits (16 MB); beyond some
+    10 million phrases these let more windows pass, and results stay exact.
     A language may hold all rows: phrases are spread by key. Words and phrases are told
     apart by hashes, of 64 bits for words and 128 for phrases.
 
@@ -305,7 +296,11 @@ def mine(
     counts = stored(word_counts(texts).where(F.col("key").isNull() | (F.col("n") >= min_count)), "word-counts")
     totals = counts.where("key is null").select("lang", F.col("n").alias("total"))
     words = stored(counts.where("key is not null").join(totals, "lang"), "frequent-words")
-    known = filter_of(words.select("key"), filter_bits)
+
+    def share(keys: DataFrame) -> Broadcast:
+        return texts.sparkSession.sparkContext.broadcast(filter_of(keys.select("key"), filter_bits))  # of a bounded size
+
+    known = share(words)
 
     # The first frontier: counts up to the power of two below which an eighth of the occurrences lies.
     power = F.floor(F.log2(F.col("n"))).cast("int")
@@ -320,13 +315,16 @@ def mine(
     settled = []
     by_score = [F.desc("score"), F.desc("a")]
     while True:
-        inside = words.join(limits.select("lang", "limit"), "lang").withColumn("inside", F.col("n") <= F.col("limit")).drop("limit")
+        inside = words.drop("word").join(limits.select("lang", "limit"), "lang").withColumn("inside", F.col("n") <= F.col("limit")).drop("limit")
         inside = stored(inside, "frontier-words")
-        ends = filter_of(inside.where("inside").select("key"), filter_bits)
-        levels, shorter = {}, known
+        ends, shorter, levels = share(inside.where("inside")), known, {}
         for size in range(2, max_words + 1):
             levels[size] = phrase_counts(texts, size, ends, known, shorter, min_count)
-            shorter = filter_of(levels[size].select("key"), filter_bits) if size < max_words else known
+            # The counts are stored: what tasks looked up is not needed again.
+            if shorter is not known:
+                shorter.destroy()
+            shorter = share(levels[size]) if size < max_words else known
+        ends.destroy()
         scored = stored(_scored(levels, inside, max_words), "scored")
         # The last wanted place of each language, all ties with it included.
         places = first_rows(scored, "lang", top, by_score)
@@ -349,6 +347,5 @@ def mine(
     for more in settled[1:]:
         found = found.unionByName(more)
     found = stored(found, "phrases")
-    named = found.join(phrase_texts(texts, found, max_words, filter_bits), ["p", "s"])
-    ranked = first_rows(named, "lang", top, [*by_score, F.asc("phrase")])
+    ranked = first_rows(named(found, words), "lang", top, [*by_score, F.asc("phrase")])
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
