@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import once
 from ..session import stored
 from .rows import others, quoted
 
@@ -34,14 +35,17 @@ def drop_common_lines(
     A missing or empty text has one empty line. Keys shorter than ``min_chars`` code
     points stay. Rows with one id are one document when documents are counted, and
     each keeps its own lines; rows without an id are told apart by their text. An
-    empty table stays empty.
+    empty table stays empty. Texts of any length are split whole, in time that grows
+    with their lines; the lines of one text must fit in a task.
     """
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     doc, tag = F.col(quoted(id_col)), F.xxhash64(text)
     lines = F.split(text, "\n", -1)
     key = line_key(F.col("line"))
     each = (
-        docs.select(doc.alias("doc"), tag.alias("tag"), F.posexplode(lines).alias("pos", "line"))
+        docs.select(doc.alias("doc"), tag.alias("tag"), lines.alias("lines"))
+        # The text's hash has a column below the generator: above, it would be taken again for every line.
+        .select("doc", "tag", F.posexplode("lines").alias("pos", "line"))
         .select("doc", "tag", "pos", key.alias("key"))
         .where(F.char_length("key") >= min_chars)
         .select("doc", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
@@ -66,8 +70,13 @@ def drop_common_lines(
     joined = rows.join(dropped, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_tag")), "left")
     original = F.col("_row").getField(text_col)
     lines = F.split(F.coalesce(original, F.lit("")), "\n", -1)
-    kept_at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.concat_ws("\n", F.transform(kept_at, lambda i: F.get(lines, i)))
+
+    def remaining(lines: Column) -> Column:
+        kept_at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        return F.concat_ws("\n", F.transform(kept_at, lambda i: F.get(lines, i)))
+
+    # Split once, not once more for each line that stays.
+    kept = once(lines, remaining)
     return joined.select(
         *[
             (F.when(F.col("_gone").isNull(), original).otherwise(kept) if c == text_col else F.col("_row").getField(c)).alias(c)

@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 
 import numpy as np
 import pytest
@@ -169,3 +170,50 @@ def test_decontamination(spark, corpus):
     assert rows[-4][1][spans[10]["start"] : spans[10]["end"]].split() == items[0][1].upper().split()
     assert decontaminate.mark(corpus([]), benchmark).count() == 0
     assert decontaminate.drop_contaminated(docs, benchmark.limit(0)).count() == len(rows)
+
+
+def test_lines_of_very_long_texts(spark, corpus):
+    """A text is split once, whatever its lines: half a million of them take seconds."""
+    n = 500_000
+    long = "\n".join(f"line {i}" if i % 1000 else "common" for i in range(n))
+    start = time.monotonic()
+    got = lines.drop_common_lines(corpus([(1, long), (2, "common"), (3, "a\nCOMMON \nb")]), min_docs=3)
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert time.monotonic() - start < 60
+    assert found[1]["text"] == "\n".join(f"line {i}" for i in range(n) if i % 1000)
+    assert (found[1]["n_lines"], found[1]["n_dropped"]) == (n, n // 1000)
+    assert (found[2]["text"], found[3]["text"]) == ("", "a\nb")
+
+
+def test_one_text_per_labelled_id_reaches_the_fit(spark, corpus, monkeypatch):
+    """A labelled id that many rows share counts as one example."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words, 20)) + (" vile" if i % 3 == 0 else "")) for i in range(90)]
+    labels = spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    held = []
+    inner = toxicity.stored
+
+    def spy(df, label):
+        kept = inner(df, label)
+        held.append((label, kept.count()))
+        return kept
+
+    monkeypatch.setattr(toxicity, "stored", spy)
+    hot = [(0, f"{rows[0][1]} copy {k}") for k in range(300)]
+    model = toxicity.train(corpus(rows + hot), labels)
+    assert ("toxic-examples", 90) in held
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(corpus(rows), model).collect()}
+    assert min(s for i, s in scores.items() if i % 3 == 0) > max(s for i, s in scores.items() if i % 3)
+
+
+def test_blocks_of_a_large_benchmark_are_stored_between_passes(spark, corpus):
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(12))) for i in range(12)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, f"before {items[i % 12][1]} after") for i in range(24)] + [(100, "nothing here"), (101, None)]
+    one, many = (decontaminate.mark(corpus(docs), benchmark, block_chars=n) for n in (10_000, 100))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    key = lambda df: sorted((r["doc_id"], sorted(x["item_id"] for x in r["found"])) for r in df.collect())
+    assert key(one) == key(many) and dict(key(one))[5] == [5] and dict(key(one))[100] == []
