@@ -7,7 +7,7 @@ from ..operators.ranking import top_n
 from ..operators.reshape import stack
 from ..session import scratch_dir
 from ..sources import delimited, documents, fanout, html, paged, split_documents
-from ..streaming.landing import drain
+from ..streaming.landing import drain, ingest
 from .registry import query
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -113,6 +113,47 @@ def paged_union(t):
     return pages.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+# Rows of a page in the queries below; no table has a multiple of it, so the last page is short.
+_PAGE = 2_499
+
+
+def _landed(t):
+    path = scratch_dir(t.spark, "offsets")
+    paged.land_pages_by_offset(t.events, path, F.asc("event_id"), page_rows=_PAGE)
+    # A page that a longer export left behind.
+    stale = t.events.limit(3).withColumn("offset", F.lit(1_000_000 * _PAGE).cast("long"))
+    stale.write.mode("append").partitionBy("offset").json(path)
+    return paged.read_until_short(t.spark, path, EVENTS, _PAGE)
+
+
+@query(
+    "paged_until_short",
+    """
+    select (row_number() over (order by event_id) - 1) // 2499 * 2499 as "offset",
+           event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, user_id, event_type, value, props
+    from events
+    """,
+)
+def paged_until_short(t):
+    rows, _ = _landed(t)
+    return rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(
+    "paged_report",
+    """
+    with p as (select (row_number() over (order by event_id) - 1) // 2499 * 2499 as "offset" from events),
+    n as (select "offset", count(*) as n_rows from p group by 1),
+    last as (select max("offset") as x from n)
+    select "offset", n_rows, case when "offset" = x then 'last' else 'full' end as status from n, last
+    union all
+    select 2499000000, 3, 'beyond the end'
+    """,
+)
+def paged_report(t):
+    return _landed(t)[1]
+
+
 def _escaped(c):
     return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
@@ -215,3 +256,40 @@ def stream_available_now(t):
     landing = paged.land_pages(t.events, scratch_dir(spark, "landing"))
     stored = drain(spark, landing, EVENTS, scratch_dir(spark, "stored"), scratch_dir(spark, "progress"))
     return stored.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def _ingested(t):
+    """Events landed as lines, every tenth cut off, a share of them landed twice; in two runs of several batches."""
+    spark = t.spark
+    source, target, checkpoint = (scratch_dir(spark, x) for x in ("landing", "ingested", "progress"))
+    line = F.to_json(F.struct("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "user_id", "event_type", "value", "props"))
+    cut = F.when(F.col("event_id") % 10 == 3, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    lines = t.events.select("event_id", cut.alias("value"))
+    lines.select("value").write.text(source)
+    ingest(spark, source, EVENTS, target, checkpoint, ["event_id"])
+    lines.where("event_id % 7 = 0").select("value").write.mode("append").text(source)
+    return ingest(spark, source, EVENTS, target, checkpoint, ["event_id"])
+
+
+@query(
+    "stream_ingest_once",
+    """
+    select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, user_id, event_type, value, props from events where event_id % 10 <> 3
+    """,
+)
+def stream_ingest_once(t):
+    return _ingested(t)[0].withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(
+    "stream_rejects",
+    """
+    select substr(x, 1, 30) as head, count(*) as n from (
+      select '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as x from events where event_id % 10 = 3
+      union all
+      select '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') from events where event_id % 10 = 3 and event_id % 7 = 0)
+    group by 1
+    """,
+)
+def stream_rejects(t):
+    return _ingested(t)[1].groupBy(F.substring("value", 1, 30).alias("head")).agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +28,15 @@ def _one_object(value: str) -> Column:
     return F.from_json(around, "end bigint")["end"] == own
 
 
-def _judged(texts: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed records, and rows whose ``value`` is no JSON object of the schema: one verdict for each."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+def judged(texts: DataFrame, schema: str, keep: Sequence[str] = (), **options: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed records, after the columns in ``keep``, and rows whose ``value`` is no JSON object of the schema: one verdict for each."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **options}
     parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options)
-    judged = texts.withColumn("_doc", parsed)
+    texts = texts.withColumn("_doc", parsed)
     # Records that parse to nothing, such as null, arrays and numbers, have no object to start with.
     good = F.ltrim("value").startswith("{") & F.col("_doc").isNotNull() & F.col(f"_doc.{CORRUPT}").isNull() & _one_object("value")
     ok = F.coalesce(good, F.lit(False))
-    return judged.where(ok).select("_doc.*").drop(CORRUPT), judged.where(~ok).drop("_doc")
+    return texts.where(ok).select(*keep, "_doc.*").drop(CORRUPT), texts.where(~ok).drop("_doc")
 
 
 def empty_files(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +58,7 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFra
     no bytes have an empty value.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    good, bad = _judged(files, schema)
+    good, bad = judged(files, schema)
     return good, bad.unionByName(empty_files(spark, path).select("file", F.lit("").alias("value")))
 
 
@@ -66,7 +68,7 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     Blank lines are on neither side.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return _judged(lines.where(F.trim("value") != ""), schema)
+    return judged(lines.where(F.trim("value") != ""), schema)
 
 
 def parse_documents(df: DataFrame, col: str, schema: str) -> DataFrame:
