@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Generator, Iterable
 from html import unescape
 from html.parser import HTMLParser
@@ -47,6 +47,9 @@ _MAX_BLOCKS = 2000
 _MAX_INDENT = 1000
 _MAX_TABLES = 100
 _MAX_SPAN = 1000
+# Cells are aligned up to this width, and columns that start within this many characters, fewer in nested tables.
+_MAX_COLUMN = 60
+_MAX_ALIGNED = 240
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SELECTOR = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)", re.I)
@@ -174,17 +177,33 @@ def _plain(node: Node) -> str:
     return "".join(found)
 
 
-def _hidden_selectors(css: str) -> list[tuple[str, set[str], set[str]]]:
-    """Simple selectors (tag, classes, ids) of the rules that hide what they match."""
-    found = []
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-        if _HIDING.search(body):
-            for selector in selectors.split(","):
-                m = _SELECTOR.fullmatch(selector.strip())
-                if m and m.group(0):
-                    parts = re.findall(r"[.#][\w-]+", m.group(2))
-                    found.append(((m.group(1) or "").lower(), {p[1:] for p in parts if p[0] == "."}, {p[1:] for p in parts if p[0] == "#"}))
-    return found
+class HiddenBy:
+    """Simple selectors (tag, classes, ids) of the rules that hide what they match, found by one of their names."""
+
+    def __init__(self, css: str):
+        selectors = set()
+        for heads, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
+            if _HIDING.search(body):
+                for selector in heads.split(","):
+                    m = _SELECTOR.fullmatch(selector.strip())
+                    if m and m.group(0):
+                        parts = re.findall(r"[.#][\w-]+", m.group(2))
+                        classes = frozenset(p[1:] for p in parts if p[0] == ".")
+                        selectors.add(((m.group(1) or "").lower(), classes, frozenset(p[1:] for p in parts if p[0] == "#")))
+        # Under an id, else under the class that the fewest selectors have, else under the tag.
+        often = Counter(c for _, classes, _ in selectors for c in classes)
+        self.under: dict[str, list[tuple[str, frozenset, frozenset]]] = defaultdict(list)
+        for tag, classes, ids in selectors:
+            name = "#" + min(ids) if ids else "." + min(classes, key=lambda c: (often[c], c)) if classes else tag
+            self.under[name].append((tag, classes, ids))
+
+    def __call__(self, node: Node) -> bool:
+        classes = set(node.attributes.get("class", "").split())
+        own = node.attributes.get("id")
+        names = [node.tag, *("." + c for c in classes), *(["#" + own] if own is not None else [])]
+        return any(
+            (not t or t == node.tag) and c <= classes and (not i or i == {own}) for name in names for t, c, i in self.under.get(name, ())
+        )
 
 
 # Lines of an element, by a generator that yields those of elements in it and is sent their lines.
@@ -216,7 +235,7 @@ def _joined(lines: deque, new: Iterable[str]) -> deque:
 class Renderer:
     def __init__(self, html: str):
         tree = Tree(html)
-        self.hiding = _hidden_selectors("\n".join(tree.css))
+        self.hiding = HiddenBy("\n".join(tree.css))
         self.tables = self.items = 0
         lines = _run(self.block(tree.root))
         while lines and not lines[0].strip():
@@ -235,8 +254,7 @@ class Renderer:
             return True
         if node.parent is not None and node.parent.tag == "details" and "open" not in node.parent.attributes and node.tag != "summary":
             return True
-        classes = set(a.get("class", "").split())
-        return any((not t or t == node.tag) and c <= classes and (not i or i == {a.get("id")}) for t, c, i in self.hiding)
+        return self.hiding(node)
 
     def block(self, node: Node, pre: bool = False, indent: int = 0, tables: int = 0) -> Lines:
         """The lines of an element's content; empty ones part what stands apart."""
@@ -420,13 +438,31 @@ class Renderer:
                         taken[c] = height - 1
                 column += width
             grid.append(cells)
-        used = sorted({c for cells in grid for c, lines in cells.items() if lines})
-        widths = {c: max(len(x) for cells in grid for x in cells.get(c, [])) if any(cells.get(c) for cells in grid) else 0 for c in used}
+        # Longer lines stay whole and do not widen their column.
+        widths: dict[int, int] = defaultdict(int)
+        shown: dict[int, bool] = defaultdict(bool)
+        for cells in grid:
+            for c, lines in cells.items():
+                shown[c] |= bool(lines)
+                widths[c] = max([widths[c], *(len(x) for x in lines if len(x) <= _MAX_COLUMN)])
+        starts: dict[int, int] = {}
+        at = 0
+        for c in sorted(c for c, filled in shown.items() if filled):
+            if at > _MAX_ALIGNED // tables:
+                break
+            starts[c] = at
+            at += widths[c] + 2
         out = []
         for cells in grid:
+            columns = sorted(cells)
             for i in range(max((len(x) for x in cells.values()), default=0)):
-                parts = [(cells.get(c, [])[i] if i < len(cells.get(c, [])) else "").ljust(widths[c]) for c in used]
-                out.append("  ".join(parts).rstrip())
+                line = ""
+                for c in columns:
+                    text = cells[c][i] if i < len(cells[c]) else ""
+                    if text:
+                        # To the column's start, or two spaces on where the line is there already or columns have ended.
+                        line = max(line + "  " if line else "", line.ljust(starts.get(c, 0)), key=len) + text
+                out.append(line.rstrip())
         return _joined(_joined(_joined(caption, other), below), out)
 
 
@@ -448,9 +484,14 @@ def render(pages: DataFrame, html_col: str = "html") -> DataFrame:
     what stands in one-line inputs, is not rendered. Blocks stand on lines of
     their own, paragraphs apart; list items are marked and indented; table cells are
     aligned in columns. A missing or empty page has an empty text. Markup that is not
-    closed or nested wrongly is repaired, at any depth. Indents end at 1,000 columns,
-    cells of tables within 100 tables are lines, and inline elements within 2,000 blocks
-    start lines. Columns with the new names are replaced.
+    closed or nested wrongly is repaired, at any depth. Columns with the new names are
+    replaced.
+
+    White space is bounded, so that the text grows with the page: cells are aligned up
+    to 60 characters (longer ones stay whole and push on what follows) in columns that
+    start within the first 240, in the n-th nested table 240 / n; others follow two
+    spaces on. Indents end at 1,000 columns, spans at 1,000 cells; cells of tables
+    within 100 tables are lines, and inline elements within 2,000 blocks start lines.
     """
 
     def f(html: pa.Array) -> list:
