@@ -8,6 +8,7 @@ from ..functions.conditions import cut_right
 from ..operators import aggregates as A
 from ..operators import ranking as R
 from ..operators import reshape as S
+from ..operators import sketches
 from .registry import query
 
 
@@ -79,6 +80,27 @@ def count_distinct(t):
     )
 
 
+@query(
+    "sketch_estimates",
+    """
+    select l_returnflag, count(*) as n, count(distinct l_partkey) as exact_distinct, true as distinct_within, true as median_within
+    from lineitem group by 1
+    """,
+)
+def sketch_estimates(t):
+    """Estimates from summaries per ship year, merged; beside the exact figures they are held against."""
+    rows = t.lineitem.withColumn("page", F.year("l_shipdate"))
+    pages = sketches.summarise(rows, ["page", "l_returnflag"], "l_partkey", "l_extendedprice")
+    found = sketches.estimates(pages, ["l_returnflag"]).withColumnRenamed("l_returnflag", "flag")
+    exact = t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact_distinct"))
+    both = exact.join(found, F.col("l_returnflag") == F.col("flag"))
+    ranks = t.lineitem.join(found.select("flag", F.col("`q0.5`").alias("median")), F.col("l_returnflag") == F.col("flag"))
+    below = F.avg((F.col("l_extendedprice") <= F.col("median")).cast("double"))
+    ranks = ranks.groupBy("flag").agg((F.abs(below - 0.5) <= sketches.RANK_ERROR + 0.01).alias("median_within"))
+    error = F.abs(F.col("n_distinct") - F.col("exact_distinct")) / F.col("exact_distinct")
+    return both.join(ranks, "flag").select("l_returnflag", "n", "exact_distinct", (error <= sketches.COUNT_ERROR).alias("distinct_within"), "median_within")
+
+
 @query(
     "string_agg_distinct",
     """

@@ -7,6 +7,7 @@ from ..functions import missing as M
 from ..functions import numbers as N
 from ..functions import text
 from ..functions.similarity import jaro
+from ..operators import ranking as R
 from .registry import query
 
 _TITLE = r"array_to_string(list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}'']+|[^\p{{L}}\p{{N}}'']+'), lambda w: upper(w[1]) || w[2:]), '')"
@@ -281,6 +282,19 @@ def cast_safe(t):
     return t.events.select("event_id", written.try_cast("double").alias("k"), stage.cast("int").alias("stage"))
 
 
+@query(
+    "factor_codes",
+    """
+    select o_orderkey, o_orderpriority, dense_rank() over (order by o_orderpriority) as code,
+           case o_orderpriority when '5-LOW' then 1 when '1-URGENT' then 2 end as given
+    from orders
+    """,
+)
+def factor_codes(t):
+    rows = R.factor_codes(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "code")
+    return R.factor_codes(rows, "o_orderpriority", "given", ["5-LOW", "1-URGENT"])
+
+
 @query(
     "tiered_pay",
     """

@@ -6,7 +6,7 @@ from ..operators.nested import rectangle
 from ..operators.ranking import top_n
 from ..operators.reshape import stack
 from ..session import scratch_dir
-from ..sources import delimited, documents, fanout, html, paged, split_documents
+from ..sources import delimited, documents, fanout, html, manifest, paged, split_documents
 from ..streaming.landing import drain, ingest
 from .registry import query
 
@@ -242,6 +242,25 @@ def ingest_new_only(t):
     return paged.only_new(t.orders, stored, ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query(
+    "ingest_once_runs",
+    """
+    select o_orderkey, o_custkey, o_totalprice,
+           case when o_orderdate < timestamp '1997-01-01' then 1 when o_orderdate < timestamp '1999-01-01' then 2 else 3 end as run
+    from orders
+    """,
+)
+def ingest_once_runs(t):
+    """Three runs that overlap, each storing the orders that none before it did."""
+    seen = manifest.Manifest(t.spark, scratch_dir(t.spark, "manifest"), {"o_orderkey": "bigint"}, buckets=8)
+    runs = []
+    for run, end in enumerate(["1997-01-01", "1999-01-01", "9999-01-01"], start=1):
+        landed = t.orders.where(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz")).select("o_orderkey", "o_custkey", "o_totalprice")
+        fresh = manifest.fetch_once(seen, landed, scratch_dir(t.spark, "fetched"), F.asc("o_custkey"))
+        runs.append(fresh.withColumn("run", F.lit(run)))
+    return stack(*runs)
+
+
 @query("preview_n", "select o_orderkey, o_custkey, o_totalprice from orders order by o_orderkey limit 10")
 def preview_n(t):
     return top_n(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), 10, F.asc("o_orderkey"))

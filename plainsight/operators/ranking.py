@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
+from ..functions.conditions import rank_of
 from ..functions.missing import as_col, asc, desc
 from ..session import stored
+from .joins import join
 
 
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -117,6 +119,20 @@ def number_rows(df: DataFrame, *order: Column, name: str = "row_no") -> DataFram
     )
 
 
+def factor_codes(df: DataFrame, col: str, name: str, levels: Sequence[str] | None = None) -> DataFrame:
+    """Number a column's values as the levels of a factor, from 1.
+
+    Without ``levels`` these are all distinct values in ascending order, numbered by
+    their place in range partitions, so no task holds them all; with it, values that are
+    no level are NULL. Missing values are NULL in both.
+    """
+    if levels is not None:
+        return df.withColumn(name, rank_of(col, levels).cast("long"))
+    known = df.select(F.col(col).alias("_level")).where(F.col("_level").isNotNull()).distinct()
+    codes = number_rows(known, F.asc("_level"), name="_code").select("_level", F.col("_code").alias(name))
+    return join(df, codes, {col: "_level"}, "left", few=True)
+
+
 def number_in_group(df: DataFrame, groups: Sequence[str], *order: Column, name: str = "row_no") -> DataFrame:
     """Number the rows inside each group in a total order, from 1.
 
