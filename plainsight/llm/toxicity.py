@@ -147,8 +147,9 @@ def train(
     Features are words and word beginnings whose share differs between the samples by ``min_z``
     standard errors, the ``max_features`` strongest. ``members`` classifiers are
     trained and averaged. Labels other than 0 and 1, or without an id, are left out;
-    an id that is labelled twice counts as toxic if any label says so. Without a
-    confirmed or an unlabelled example the model scores every text 0.
+    an id that is labelled twice counts as toxic if any label says so. Of the texts that
+    an id has in ``docs`` the one with the smallest hash is used. Without a confirmed or
+    an unlabelled example, as with an empty table, the model scores every text 0.
     """
     empty = Model({}, np.zeros(0))
     seen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -164,7 +165,9 @@ def train(
     drawn = seen.orderBy("h", "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
     chosen = confirmed.unionByName(drawn).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
     # At most max_positive + max_unlabelled rows of three numbers.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One text of each, so that an id that many rows of ``docs`` share brings no more than another.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
     hashed = with_arrays(
         texts.select("doc_id", "p", "u", "text"),
         ["text"],
@@ -225,7 +228,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` that the trained model does not reject, with their columns."""
+    """The rows of ``docs`` that the trained model does not reject, with their columns.
+
+    Repeated rows and texts without an id are each scored; an empty table stays empty,
+    and without labels all rows stay.
+    """
     # Numbered columns cannot clash with the score, and each is sent to Python once.
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     scored = score(numbered, train(docs, labels, **options), threshold, text_col=f"c{docs.columns.index('text')}")

@@ -200,9 +200,10 @@ def test_one_text_per_labelled_id_reaches_the_fit(spark, corpus, monkeypatch):
         return kept
 
     monkeypatch.setattr(toxicity, "stored", spy)
-    hot = [(0, f"{rows[0][1]} copy {k}") for k in range(300)]
+    often = next(i for i in range(0, 90, 3) if fold_of(i, 3) != 1)
+    hot = [(often, f"{rows[often][1]} copy {k}") for k in range(300)]
     model = toxicity.train(corpus(rows + hot), labels)
-    assert ("toxic-examples", 90) in held
+    assert dict(held)["toxic-examples"] == dict(held)["toxic-labels"] == sum(fold_of(i, 3) != 1 for i in range(90))
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(corpus(rows), model).collect()}
     assert min(s for i, s in scores.items() if i % 3 == 0) > max(s for i, s in scores.items() if i % 3)
 
