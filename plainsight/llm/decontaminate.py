@@ -233,8 +233,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, q: int = 8, error_rate: float =
 
     Items go to the tasks in blocks of about ``block_chars`` characters, and each block
     is one pass over the documents, without a shuffle: benchmarks do not grow with the
-    corpus, and a large one takes more passes, not more memory. A missing text holds
-    nothing; items that are missing or empty are not looked for; equal items under two ids are found under both. A column named ``found`` is replaced.
+    corpus, and a large one takes more passes, of which each is stored, not more memory.
+    A missing text holds nothing; items that are missing or empty are not looked for;
+    equal items under two ids are found under both. Texts are read whole, some megabytes
+    at a time, of one row at least. Repeated rows are each marked; an empty table stays
+    empty, and without items nothing is found. A column named ``found`` is replaced.
     """
     added = fields(_FOUND)
     kept = others(docs, added.fieldNames())
@@ -262,7 +265,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, q: int = 8, error_rate: float =
             out = docs.mapInArrow(run, schema)
             at = kept.index(text_col)
         else:
-            out = out.mapInArrow(run, schema)
+            # Stored between passes: chained, a task would hold the items of all blocks.
+            out = stored(out, "marked").mapInArrow(run, schema)
     return out
 
 
