@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from ..functions.missing import as_col
 from ..functions.once import once
@@ -15,22 +16,36 @@ from ..functions.similarity import jaro_once
 from ..session import checkpointed, stored
 
 _RIGHT = "_r_"
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
 def _all(conditions: Sequence[Column]) -> Column:
     return reduce(and_, conditions)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Keep a derived table and mark it for broadcast if it has few rows.
+def _size(df: DataFrame) -> Column:
+    """The bytes of all rows: eight for a number, the length of a text, that of its JSON form for what is nested."""
+    widths = [F.lit(8)]
+    for field in df.schema:
+        c = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            widths.append(F.octet_length(c) + 8)
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            widths.append(F.octet_length(F.to_json(F.struct(c.alias("x")))))
+        else:
+            widths.append(F.lit(8))
+    return F.sum(sum((F.coalesce(w, F.lit(8)).cast("long") for w in widths[1:]), widths[0].cast("long")))
+
+
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Keep a derived table and mark it for broadcast if it has few bytes.
 
     Spark cannot see that an aggregate is small and would shuffle the large side
-    of a join with it. The table is checkpointed, counted, and broadcast only
+    of a join with it. The table is checkpointed, measured, and broadcast only
     below the limit; a larger one is left to an ordinary join.
     """
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    return F.broadcast(kept) if (kept.agg(_size(kept)).first()[0] or 0) <= max_bytes else kept
 
 
 def join(

@@ -50,7 +50,7 @@ def test_small_is_checked(spark):
     assert "BroadcastHashJoin" in plan_of(spark.range(1000).toDF("k").join(J.small(table), "k"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastHashJoin" not in plan_of(spark.range(1000).toDF("k").join(J.small(table, rows=10), "k"))
+        assert "BroadcastHashJoin" not in plan_of(spark.range(1000).toDF("k").join(J.small(table, max_bytes=100), "k"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

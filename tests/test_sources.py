@@ -37,7 +37,7 @@ def test_unreadable_files(spark):
             f.write(x)
     good, bad = documents.read_documents(spark, path, "a int")
     assert values(good) == [(1,)]
-    assert {f[-5:]: v for f, v in values(bad)} == {"1.txt": '{\n"a":', "2.txt": " ", "3.txt": "[]"}
+    assert {f[-5:]: v for f, v in values(bad)} == {"1.txt": '{\n"a":', "2.txt": " ", "3.txt": "[]", "4.txt": ""}
 
 
 def test_row_spans():
@@ -203,3 +203,28 @@ def test_unshared_scratch_is_refused(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.scratch_root(Session())
+
+
+def test_rows_of_entities_with_a_deadline(spark):
+    def work(text):
+        for i, part in enumerate(text.split(",")):
+            if part == "hang":
+                while True:
+                    pass
+            if part == "fail":
+                raise ValueError("failed")
+            yield i, ("no number" if part == "odd" else float(part))
+
+    texts = {1: "1,2,3", 2: "4,fail", 3: "5,hang", 4: "6,odd", 5: "7", 6: None, 7: "8,9"}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(2)
+    found = fanout.fan_out_rows(rows, "id", "text", work, "place int, number double", deadline=0.5)
+    assert found.columns == ["id", "place", "number", "error"]
+    got = sorted(values(found), key=str)
+    assert [r for r in got if r[3] is None] == [(1, 0, 1.0, None), (1, 1, 2.0, None), (1, 2, 3.0, None), (5, 0, 7.0, None), (7, 0, 8.0, None), (7, 1, 9.0, None)]
+    failed = {r[0]: r[3] for r in got if r[3] is not None}
+    assert failed[2] == "ValueError: failed" and failed[3] == "TimeoutError: no result within 0.5 s"
+    assert set(failed) == {2, 3, 4, 6} and all(r[1:3] == (None, None) for r in got if r[3])
+    none = fanout.fan_out_rows(rows, "id", "text", lambda text: [], "place int")
+    assert none.count() == 0
+    many = fanout.fan_out_rows(rows, "id", "text", lambda text: ((i,) for i in range(5000)), "place int", held=1000)
+    assert many.count() == 7 * 5000
