@@ -9,6 +9,7 @@ from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 # Most headers end within this much; for others more is read.
 _AHEAD = 1 << 16
+# The table of archives that a finished write leaves beside them.
+_MANIFEST = "manifest"
+_ARCHIVES = "file string, n_records long, size long"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -48,12 +52,15 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 100, max_bytes: int =
     Of records with equal payloads of ``min_bytes`` at least, those with the smallest
     page id are responses and the others revisits of it. Only digests are grouped; a
     payload that a third of the pages have is counted before the shuffle and is joined
-    back as one row. Each task writes archives of about ``max_bytes``, under a name of
-    its own first. Returns one row per archive: ``file``, ``n_records``.
+    back as one row. Each task writes archives of about ``max_bytes``, under names that
+    no other attempt uses; the manifest beside them lists those of the attempts that
+    Spark committed, and no others are read. Returns one row per archive: ``file``,
+    ``n_records``, ``size``. A folder takes one write.
 
     A missing html is an empty payload. A row without a page id is a response only if
     no row with an id has its payload; repeated rows of the smallest id are all
-    responses. An empty table gives no archive.
+    responses. An empty table gives no archive. A payload of any length is one record,
+    and must fit in a task.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"))
@@ -67,20 +74,19 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 100, max_bytes: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
         fs.create_dir(root, recursive=True)
-        part, seq, size, n, out, temporary = TaskContext.get().partitionId(), 0, 0, 0, None, ""
+        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        seq, size, n, out, name = 0, 0, 0, None, ""
 
         def close() -> pa.RecordBatch:
             out.close()
-            name = f"part-{part:06d}-{seq:04d}.warc"
-            fs.move(temporary, f"{root}/{name}")
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n_records"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["file", "n_records", "size"])
 
         for whole in batches:
             for batch in slices(whole):
                 for page, url, html, digest, refers_to in zip(*[c.to_pylist() for c in batch.columns]):
                     if out is None:
-                        temporary = f"{root}/_{uuid.uuid4().hex}"
-                        out, size, n = fs.open_output_stream(temporary), 0, 0
+                        name = f"part-{part:06d}-{seq:04d}-{attempt}.warc"
+                        out, size, n = fs.open_output_stream(f"{root}/{name}"), 0, 0
                     data = record(page, url, html.encode("utf-8", "replace"), digest, refers_to, date)
                     out.write(data)
                     size, n = size + len(data), n + 1
@@ -90,7 +96,19 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 100, max_bytes: int =
         if out is not None:
             yield close()
 
-    return stored(rows.mapInArrow(run, "file string, n_records long"), "archives")
+    rows.mapInArrow(run, _ARCHIVES).write.parquet(f"{folder}/{_MANIFEST}")
+    return archives(pages.sparkSession, folder)
+
+
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """The archives below ``folder``: those that the manifest of a finished write names, else all there are."""
+    fs, root = open_folder(folder)
+    if fs.get_file_info(f"{root}/{_MANIFEST}").type != FileType.NotFound:
+        return spark.read.schema(_ARCHIVES).parquet(f"{folder}/{_MANIFEST}")
+    if fs.get_file_info(root).type == FileType.NotFound:
+        return spark.createDataFrame([], _ARCHIVES)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(folder)
+    return listed.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.lit(None).cast("long").alias("n_records"), F.col("length").alias("size"))
 
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
@@ -196,13 +214,10 @@ def read(spark: SparkSession, folder: str, split_bytes: int = 4 << 20) -> DataFr
     ``at``, ``record_type``, ``page_id``, ``url``, ``payload`` (of responses),
     ``payload_bytes``, ``payload_digest`` (of the payload read, or as recorded for a
     revisit), ``intact`` (whether it is the recorded one) and ``refers_to``. What stands
-    after a broken record in a file cannot be reached and is left out.
+    after a broken record in a file cannot be reached and is left out. Of a folder that
+    :func:`write` filled only archives in its manifest are read.
     """
-    from pyarrow.fs import FileSelector
-
-    fs, root = open_folder(folder)
-    listed = [(f.base_name, f.size) for f in fs.get_file_info(FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".warc")]
-    files = spark.createDataFrame(listed, "file string, size long").where("size > 0")
+    files = archives(spark, folder).where("size > 0").select("file", "size")
     split = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / split_bytes)))
     splits = files.withColumn("split", split).withColumn("start", F.col("split") * split_bytes)
     splits = splits.withColumn("end", F.least("size", F.col("start") + split_bytes))
