@@ -118,7 +118,29 @@ def op8_html_rendering(t):
     return render.render(t.pages.select("page_id", "html"))
 
 
-@query()
+@query(
+    r"""
+    with w as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') as w
+      from documents),
+    s as (
+      select doc_id, list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s
+      from w),
+    p as (
+      select a.doc_id as a, b.doc_id as b from s a join s b
+        on a.doc_id < b.doc_id and len(a.s) > 0 and len(b.s) > 0 and 100 * least(len(a.s), len(b.s)) >= 80 * greatest(len(a.s), len(b.s))
+       and 180 * len(list_intersect(a.s, b.s)) >= 80 * (len(a.s) + len(b.s))),
+    e as (select a, b from p union all select b, a from p),
+    r as (
+      with recursive r(node, seen) as (
+        select doc_id, doc_id from documents
+        union
+        select e.a, r.seen from r join e on e.b = r.node)
+      select node, min(seen) as component_id from r group by node)
+    select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join r on r.node = doc_id
+    """
+)
 def op9_minhash_near_dedup(t):
     return minhash.near_duplicates(t.documents, size=2)
 
