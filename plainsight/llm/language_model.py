@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,7 +27,7 @@ _COUNT, _TOTAL = "<u4", "<u8"
 
 def _planes(x: np.ndarray) -> bytes:
     """Numbers as planes of bytes: those above the data are zero, and compress."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def _unplaned(data: bytes, kind: str) -> np.ndarray:
@@ -172,8 +175,10 @@ def score(
     all blocks counted and sends each block the totals of the grams it has. With those
     the block builds the part of the automaton that its texts can reach and walks it
     once. So no task holds the model; a frequent gram has one entry per block, whatever
-    its count. What is shuffled grows with the distinct grams of the blocks. All grams
-    are counted, none is pruned, as the smoothing needs them all.
+    its count. What is shuffled grows with the distinct grams of the blocks, in rows whose
+    number grows with the power 1.5 of the blocks: there are sixteen times the root of
+    the blocks as many parts, and a part adds up slice by slice. All grams are counted, none
+    is pruned, as the smoothing needs them all.
 
     A missing text is empty and has the end token alone. Without training text every
     token is unknown. Rows with one id are texts of their own. An empty table gives none.
@@ -183,8 +188,11 @@ def score(
     rows = docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text"), train.alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    # Keys of a part come from a slice of the key space.
-    parts = np.uint64(2 * n)
+    # Keys of a part come from a slice of the key space, and are added up in slices as small as half a block. As parts
+    # grow with the root of the blocks, rows between blocks and parts grow less than with the square of the blocks.
+    n_parts = min(2 * n, math.ceil(16 * math.sqrt(n)))
+    n_slices = -(-2 * n // n_parts)
+    parts = np.uint64(n_parts * n_slices)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
 
     def emit(table: pa.Table) -> pa.Table:
@@ -193,24 +201,31 @@ def score(
         counts = grams.counts(table["train"].to_numpy()).astype(_COUNT)
         out = []
         for kind, keys, own in ((_TOKENS, grams.tokens, counts[: len(grams.tokens)]), (_GRAMS, grams.grams, counts[len(grams.tokens) :])):
-            part = (keys >> np.uint64(32)) * parts >> np.uint64(32)
-            edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-            for a, b in zip(edges, edges[1:]):
-                steps = np.diff(keys[a:b], prepend=np.uint64(0)).astype("<u8")
-                out.append((kind, int(part[a]), table["block"][0].as_py(), _planes(steps), _planes(own[a:b])))
+            edges = np.searchsorted((keys >> np.uint64(32)) * parts >> np.uint64(32), np.arange(int(parts) + 1))
+            for part in range(n_parts):
+                cuts = edges[part * n_slices : (part + 1) * n_slices + 1].tolist()
+                if cuts[0] < cuts[-1]:
+                    steps = [_planes(np.diff(keys[a:b], prepend=np.uint64(0)).astype("<u8")) for a, b in zip(cuts, cuts[1:])]
+                    out.append((kind, part, table["block"][0].as_py(), steps, [_planes(own[a:b]) for a, b in zip(cuts, cuts[1:])]))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["kind", "part", "block", "keys", "counts"])
 
     def add_up(table: pa.Table) -> pa.Table:
-        replies, n_types, n_tokens = _totals(table["keys"].to_pylist(), table["counts"].to_pylist())
-        m = table.num_rows
+        m, types, tokens_ = table.num_rows, 0, 0
+        replies: list[list[bytes]] = [[] for _ in range(m)]
+        keys, counts = table["keys"].combine_chunks(), table["counts"].combine_chunks()
+        for i in range(n_slices):
+            found, n_types, n_tokens = _totals(pc.list_element(keys, i).to_pylist(), pc.list_element(counts, i).to_pylist())
+            types, tokens_ = types + n_types, tokens_ + n_tokens
+            for own, reply in zip(replies, found):
+                own.append(reply)
         # Once per part: its types and tokens.
-        types, sum_ = [n_types] + [0] * (m - 1), [n_tokens] + [0] * (m - 1)
-        columns = [table["kind"].combine_chunks(), table["part"].combine_chunks(), table["block"].combine_chunks(), pa.array(replies, pa.binary()), pa.array(types, pa.int64()), pa.array(sum_, pa.int64())]
+        once = [pa.array([x] + [0] * (m - 1), pa.int64()) for x in (types, tokens_)]
+        columns = [table["kind"].combine_chunks(), table["part"].combine_chunks(), table["block"].combine_chunks(), pa.array(replies, pa.list_(pa.binary())), *once]
         return pa.Table.from_arrays(columns, names=["kind", "part", "block", "totals", "types", "tokens"])
 
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    emitted = rows.groupBy("block").applyInArrow(emit, "kind int, part long, block int, keys binary, counts binary")
-    replies = emitted.groupBy("kind", "part").applyInArrow(add_up, "kind int, part long, block int, totals binary, types long, tokens long")
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+    emitted = rows.groupBy("block").applyInArrow(emit, "kind int, part long, block int, keys array<binary>, counts array<binary>")
+    replies = emitted.groupBy("kind", "part").applyInArrow(add_up, "kind int, part long, block int, totals array<binary>, types long, tokens long")
     replies = stored(replies, "gram-counts")
     types, tokens = replies.where(F.col("kind") == _TOKENS).agg(F.sum("types"), F.sum("tokens")).first()
     types, tokens = types or 0, tokens or 0
@@ -221,7 +236,7 @@ def score(
         table = table.combine_chunks()
         grams = Grams(table["text"].chunk(0), order)
         reply = reply.sort_by([("kind", "ascending"), ("part", "ascending")])
-        counts = np.concatenate([_unplaned(t, _TOTAL) for t in reply["totals"].to_pylist()]).astype(np.int64)
+        counts = np.concatenate([_unplaned(t, _TOTAL) for own in reply["totals"].to_pylist() for t in own]).astype(np.int64)
         total, base, known = Automaton(grams, counts, tokens, types, mass).scores()
         columns = [table["id"].combine_chunks(), pa.array(np.diff(grams.starts)), pa.array(known), pa.array(np.full(len(total), tokens, np.int64)), pa.array(base), pa.array(total)]
         return pa.Table.from_arrays(columns, names=names)

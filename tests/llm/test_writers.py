@@ -13,6 +13,7 @@ from plainsight.llm import language_model, packing, render, token_store, warc
 from plainsight.llm.rows import fold, fold_of
 from plainsight.llm.tokens import Encoder, default_path
 from plainsight.session import scratch_dir
+from pyspark.sql import functions as F
 from corpora import corpus  # noqa: F401
 from test_filters import ODD
 
@@ -189,6 +190,24 @@ def test_language_model(spark, corpus):
     assert untrained["train_tokens"] == 0 and untrained["n_known"] == 0
 
 
+def test_rows_between_blocks_and_parts_grow_slowly(spark, corpus, monkeypatch):
+    """Twice the blocks give at most 2.9 times the rows, not four times."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, 300))) for i in range(400)]
+    counted = []
+    inner = language_model.stored
+
+    def spy(df, label):
+        kept = inner(df, label)
+        counted.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(language_model, "stored", spy)
+    for n in (100, 200, 400):
+        language_model.score(corpus(rows[:n]), block_bytes=1500)
+    assert all(b / a <= 2.9 for a, b in zip(counted, counted[1:])), counted
+
+
 def test_totals_beyond_32_bits():
     planes = lambda x, kind: language_model._planes(np.array(x, kind))
     keys, counts = [[5, 4], [9], [5, 9]], [[3 << 30, 1], [2], [3 << 30, 0]]
@@ -260,6 +279,27 @@ def test_rendered_at_any_depth():
     assert render.rendered("<table><td>a<td>" * 80 + "b")[0] == "a  " * 80 + "b"
 
 
+def test_archives_of_other_attempts_are_not_read(spark):
+    folder = scratch_dir(spark, "warc")
+    pages = spark.createDataFrame([(i, "u", "x" * (50 + i)) for i in range(40)], "page_id long, url string, html string").repartition(3)
+    named = warc.write(pages, folder, max_bytes=2000)
+    assert named.agg(F.sum("n_records")).first()[0] == 40
+    assert sorted(r["file"] for r in named.collect()) == sorted(f for f in os.listdir(folder) if f.endswith(".warc"))
+    # What a lost attempt leaves: a whole archive, and half of one.
+    with open(os.path.join(folder, named.first()["file"]), "rb") as f:
+        data = f.read()
+    for name, left in (("part-000000-0000-lost.warc", data), ("part-000001-0000-lost.warc", data[: len(data) // 2])):
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(left)
+    assert sorted(r["page_id"] for r in warc.read(spark, folder).collect()) == list(range(40))
+    # Archives from elsewhere have no manifest: all are read.
+    other = scratch_dir(spark, "warc")
+    os.makedirs(other)
+    with open(os.path.join(other, "a.warc"), "wb") as f:
+        f.write(data)
+    assert warc.read(spark, other).count() == data.count(b"WARC/1.0\r\n")
+
+
 def test_render(spark):
     pages = spark.createDataFrame([(1, "<table><tr><td>a</table><ul><li>b", "theirs"), (None, None, None), (1, "x" * 200_000, "")], "page_id long, html string, text string")
     got = [tuple(r) for r in render.render(pages).collect()]
