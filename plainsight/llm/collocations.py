@@ -157,16 +157,17 @@ def phrase_counts(texts: DataFrame, size: int, ends: Broadcast, words: Broadcast
     last words are in ``words``; windows without are not emitted. A task emits each
     phrase once for some ``held`` windows.
     """
-    names = ["p", "s", "n"]
+    # The last word's key goes with a phrase, from three words on: of two, the parts are the words.
+    names = ["p", "s", "n", "w"][: 3 if size == 2 else 4]
 
     def begin():
-        chunks: list[tuple[np.ndarray, np.ndarray]] = []
+        chunks: list[tuple[np.ndarray, ...]] = []
 
         def flush():
             if chunks:
-                p, s = (np.concatenate(c) for c in zip(*chunks))
+                p, s, *w = (np.concatenate(c) for c in zip(*chunks))
                 _, at, n = np.unique(longer_key(p, s), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(p[at]), _signed(s[at]), pa.array(n)], names=names)
+                yield pa.RecordBatch.from_arrays([_signed(p[at]), _signed(s[at]), pa.array(n), *(_signed(x[at]) for x in w)], names=names)
             chunks.clear()
 
         def take(windows: Windows):
@@ -186,13 +187,15 @@ def phrase_counts(texts: DataFrame, size: int, ends: Broadcast, words: Broadcast
                 p, s = parts[start], parts[start + 1]
                 keep = (~(first | inner) | shorter.value.has(p)) & (~(last | from_second) | shorter.value.has(s))
                 start = start[keep]
-            chunks.append((parts[start], parts[start + 1]))
-            if sum(len(p) for p, _ in chunks) > held:
+            chunks.append((parts[start], parts[start + 1], *([word[start + size - 1]] if size > 2 else [])))
+            if sum(len(c[0]) for c in chunks) > held:
                 yield from flush()
 
         return take, flush
 
-    counts = _each_task(texts, "p long, s long, n long", begin).groupBy("p", "s").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    each = _each_task(texts, ", ".join(f"{c} long" for c in names), begin)
+    last_word = F.any_value("w") if size > 2 else F.any_value("s")
+    counts = each.groupBy("p", "s").agg(F.sum("n").alias("n"), last_word.alias("w")).where(F.col("n") >= min_count)
     return stored(with_arrays(counts, ["p", "s"], fields("key long"), lambda: _keys), f"phrases-{size}")
 
 
@@ -220,19 +223,21 @@ def _scored(levels: dict[int, DataFrame], words: DataFrame, max_words: int) -> D
 
     ``words`` are the frontier's and all other frequent words. ``before[k]`` and
     ``after[k]`` are the counts of the parts that the cuts make, taken over from the
-    phrases of one word less and one more.
+    phrases without the last and without the first word. A phrase that starts in the
+    frontier has all its beginnings counted, and its ``words`` come from them and its
+    last word; one that ends there has all its ends.
     """
     none = F.array().cast("array<long>")
     shorter = words.select("key", "n", "lang", "total", F.col("inside").alias("first"), F.col("inside").alias("last"), none.alias("before"), none.alias("after"), F.array("key").alias("words"))
     out = None
     for size in range(2, max_words + 1):
         p = shorter.select(F.col("key").alias("p"), F.col("n").alias("p_n"), F.col("lang").alias("p_lang"), F.col("total").alias("p_total"), "first", "before", F.col("words").alias("p_words"))
-        s = shorter.select(F.col("key").alias("s"), F.col("n").alias("s_n"), F.col("lang").alias("s_lang"), F.col("total").alias("s_total"), "last", "after", F.col("words").alias("s_words"))
+        s = shorter.select(F.col("key").alias("s"), F.col("n").alias("s_n"), F.col("lang").alias("s_lang"), F.col("total").alias("s_total"), "last", "after")
         rows = levels[size].join(p, "p", "left").join(s, "s", "left").select(
             "key", "p", "s", "n", F.coalesce("p_lang", "s_lang").alias("lang"), F.coalesce("p_total", "s_total").alias("total"),
             F.coalesce("first", F.lit(False)).alias("first"), F.coalesce("last", F.lit(False)).alias("last"),
             F.concat("before", F.array("p_n")).alias("before"), F.concat(F.array("s_n"), "after").alias("after"),
-            F.concat("p_words", F.slice("s_words", -1, 1)).alias("words"),
+            F.concat("p_words", F.array("w")).alias("words"),
         )
         shorter = stored(rows, f"parts-{size}")
         alive = shorter.where("first and last")
