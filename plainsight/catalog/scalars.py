@@ -286,7 +286,7 @@ def cast_safe(t):
     "factor_codes",
     """
     select o_orderkey, o_orderpriority, dense_rank() over (order by o_orderpriority) as code,
-           case o_orderpriority when '5-LOW' then 1 when '1-URGENT' then 2 end as given
+           cast(case o_orderpriority when '5-LOW' then 1 when '1-URGENT' then 2 end as bigint) as given
     from orders
     """,
 )
