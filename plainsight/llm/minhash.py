@@ -15,6 +15,8 @@ from .words import mix, shingle_sets
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+# Text that is cut into shingles at a time: a worker needs some fifty times as much for it.
+_TEXT_BYTES = 1 << 20
 
 
 def superminhash(elements: np.ndarray, starts: np.ndarray, m: int, chunk: int = 200_000) -> np.ndarray:
@@ -85,7 +87,7 @@ def _sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         ]
 
     added = fields("n_shingles long, f1 long, f2 long, bands array<long>, low binary")
-    return with_arrays(docs, ["_text"], added, lambda: f, drop=["_text"])
+    return with_arrays(docs, ["_text"], added, lambda: f, drop=["_text"], max_bytes=_TEXT_BYTES)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int, few: int = 200_000) -> DataFrame:
@@ -99,7 +101,8 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int, few: int = 200_000) -> Dat
         return [_lists(*shingle_sets(text, size))]
 
     wanted = docs.join(ids, "_id", "left_semi")
-    return stored(with_arrays(wanted, ["_text"], fields("shingles array<long>"), lambda: f, drop=["_text"]), "sets")
+    sets = with_arrays(wanted, ["_text"], fields("shingles array<long>"), lambda: f, drop=["_text"], max_bytes=_TEXT_BYTES)
+    return stored(sets, "sets")
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

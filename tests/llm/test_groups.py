@@ -161,3 +161,17 @@ def test_cap_filters(spark):
         else:
             assert r["component_id"] == want[r["vec_id"]] and r["kept"] == (want[r["vec_id"]] == r["vec_id"])
     assert caps.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_texts_reach_the_shingles_in_small_slices(spark, corpus, monkeypatch):  # noqa: F811
+    sizes, plain = {}, minhash.with_arrays
+
+    def noted(*args, **options):
+        sizes[args[2].fieldNames()[-1]] = options.get("max_bytes", 4 << 20)
+        return plain(*args, **options)
+
+    monkeypatch.setattr(minhash, "with_arrays", noted)
+    words = " ".join(f"w{i}" for i in range(50))
+    found = minhash.near_duplicates(corpus([(1, words), (2, words + " x"), (3, "other")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 1), (3, 3)]
+    assert sizes and max(sizes.values()) <= 1 << 20
