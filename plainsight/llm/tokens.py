@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
-from itertools import islice
+import re
 from itertools import islice
 
 import numpy as np
@@ -16,6 +17,10 @@ _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 # a text without these can be encoded in parts cut before each space.
 _UNEVEN = rf" (?:[{_WS}]|$)"
 
+# A word and up to three marks after it (no apostrophe), which the tokenizer's pattern
+# takes apart. The letters are those that every version of Unicode has.
+_MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]{1,3})")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -41,6 +46,11 @@ class Encoder:
         self.max_parts = max_parts
         # Ids of a part and the space before it.
         self.parts: dict[str, bytes] = {}
+        state = json.loads(self.tokenizer.to_str())
+        pattern = state["pre_tokenizer"] or {}
+        # Whether words and marks have ids of their own, wherever they stand.
+        self.apart = pattern.get("type") == "ByteLevel" and pattern.get("use_regex") is True and not state["normalizer"]
+        self.marks: dict[str, bytes] = {}
         self.separators = {c: np.frombuffer(self.whole(c), "<u4") for c in "\n\t"}
 
     def whole(self, text: str) -> bytes:
@@ -80,13 +90,23 @@ class Encoder:
         offsets = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
         at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        heads = self._together([words[i] for i in at[offsets[:-1]]])
-        at[offsets[:-1]] = len(words) + np.arange(len(heads))
+        first, place = np.unique(at[offsets[:-1]], return_inverse=True)
+        at[offsets[:-1]] = len(words) + place
         found = list(map(self.parts.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(missing, self._together([" " + words[i] for i in missing])):
-            found[i] = self.parts[words[i]] = ids
-        found += heads
+        marked = {i: m for i in missing if (m := _MARKED.fullmatch(words[i]))} if self.apart else {}
+        new = {words[i]: None for i in missing if i not in marked}
+        new.update((m[1], None) for m in marked.values() if m[1] not in self.parts)
+        self.parts.update(zip(new, self._together([" " + w for w in new])))
+        for i in missing:
+            if i in marked:  # not kept, so that there is room for more words
+                word, mark = marked[i].groups()
+                if mark not in self.marks:
+                    self.marks[mark] = self.whole(mark)
+                found[i] = self.parts[word] + self.marks[mark]
+            else:
+                found[i] = self.parts[words[i]]
+        found += self._together([words[i] for i in first])
         lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
         ids = np.frombuffer(b"".join(found), "<u4")
         n = lengths[at]

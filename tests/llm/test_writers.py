@@ -305,3 +305,14 @@ def test_render(spark):
     got = [tuple(r) for r in render.render(pages).collect()]
     assert got == [(1, "a\n\n- b", 6, 1, 1), (None, "", 0, 0, 0), (1, "x" * 200_000, 200_000, 0, 0)]
     assert render.render(pages.limit(0)).count() == 0
+
+
+def test_words_before_marks_are_encoded_once(monkeypatch):
+    encode = Encoder(default_path())
+    seen = []
+    together = encode._together
+    monkeypatch.setattr(encode, "_together", lambda parts: seen.extend(parts) or together(parts))
+    texts = ["Oh wort, wort. wort### wort's wort", "Oh wört.Ωx wort?! ωort, a1, --, it's. x_y: wort%%%%", "Oh wort<|, word"]
+    assert encode.encode(pa.array(texts)) == [encode.whole(t) for t in texts]
+    assert seen.count(" wort") == 1 and seen.count("Oh") == 1
+    assert not {" wort,", " wort.", " wort###", " wort?!", " wort<|,"} & set(seen)
