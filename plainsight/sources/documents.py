@@ -47,10 +47,15 @@ def empty_files(spark: SparkSession, path: str) -> DataFrame:
 
     text = spark.read.text(path)
     listed = spark.createDataFrame([(f,) for f in text.inputFiles()], "file string")  # the driver holds this list anyway
-    opened = text.select(plain(F.col("_metadata.file_path")).alias("file")).distinct()
+    opened = filled_files(spark, path).select(plain("file").alias("file"))
     return listed.select(plain("file").alias("file")).join(opened, "file", "left_anti")
 
 
+def filled_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files that have bytes, a row each: (``file``). Their content is not read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Documents, one per JSON file over any number of lines, and unreadable files (``file``, ``value``).
 

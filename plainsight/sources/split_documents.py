@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .documents import CORRUPT, empty_files
+from .documents import CORRUPT, empty_files, filled_files
 
 # Readers cut files at this character: a fragment starts with it, and no key or bracket lies across a cut.
 _CUT = "{"
@@ -57,13 +57,26 @@ def _fragments(spark: SparkSession, path: str) -> DataFrame:
     """All files cut before each opening brace, in order within each split: (``file``, ``split``, ``value``).
 
     Spark's text reader cuts and splits the files. Every fragment gets its brace back;
-    the first of a file had none.
+    the first of a file had none. Fragments are short and many: ``file`` is a hash.
     """
     text = spark.read.option("lineSep", _CUT).text(path)
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    place = [_file_key(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("split")]
     return text.select(*place, F.concat(F.lit(_CUT), "value").alias("value"))
 
 
+def _file_key(file: Column) -> Column:
+    return F.xxhash64(file)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """The files that have bytes, and the hash that fragments name them by: (``key``, ``file``)."""
+    files = filled_files(spark, path).select(_file_key(F.col("file")).alias("key"), "file")
+    files = stored(files, "files")
+    if not files.groupBy("key").count().where("count > 1").isEmpty():
+        raise ValueError(f"two files below {path} have names of one hash")
+    return files
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, bool, bytes]]:
     """Text in order: the row it starts at, whether a split starts there, and some ``max_bytes`` of whole fragments."""
     last = None
@@ -71,7 +84,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iter
         n = batch.num_rows
         if not n:
             continue
-        files = batch.column(0).dictionary_encode().indices.to_numpy()
+        files = batch.column(0).to_numpy()
         splits = batch.column(1).to_numpy()
         values = batch.column(2).cast(pa.large_string())
         offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + n + 1]
@@ -128,7 +141,7 @@ def _split_states(fragments: DataFrame, field: re.Pattern) -> DataFrame:
             yield finished()
 
     names = ["file", "split", "quotes", "depth0", "lowest0", "open0", "depth1", "lowest1", "open1"]
-    return stored(fragments.mapInArrow(run, f"file string, split long, {_STATES}"), "split-states")
+    return stored(fragments.mapInArrow(run, f"file long, split long, {_STATES}"), "split-states")
 
 
 def _starts(states: DataFrame) -> DataFrame:
@@ -177,7 +190,7 @@ def _elements(fragments: DataFrame, field: re.Pattern) -> DataFrame:
                     yield end()
                 row = start
                 if row.column(3)[0].as_py() is None:
-                    raise ValueError(f"the files of {row.column(0)[0]} changed while they were read")
+                    raise ValueError(f"the files changed while they were read")
                 state = _Reader(*(row.column(i)[0].as_py() for i in (3, 4, 5)))
             rows += state.read(text, field)
             if rows:
@@ -185,7 +198,7 @@ def _elements(fragments: DataFrame, field: re.Pattern) -> DataFrame:
         if row is not None:
             yield end()
 
-    return stored(fragments.mapInArrow(run, "file string, split long, kind int, mark int, text string"), "elements")
+    return stored(fragments.mapInArrow(run, "file long, split long, kind int, mark int, text string"), "elements")
 
 
 class _Reader:
@@ -256,8 +269,7 @@ def read_elements(spark: SparkSession, path: str, field: str, schema: str) -> tu
     pattern = re.compile(rb'"' + re.escape(field.encode()) + rb'"\s*:\s*\[')
     fragments = _fragments(spark, path)
     starts = stored(_starts(_split_states(fragments, pattern)), "split-starts")
-    n_bytes = starts.agg(F.sum(F.octet_length("file") + 48)).first()[0] or 0
-    if n_bytes <= _BROADCAST_BYTES:
+    if 48 * starts.count() <= _BROADCAST_BYTES:
         placed = fragments.join(F.broadcast(starts), ["file", "split"], "left")
     else:
         numbered = fragments.withColumn("_id", F.monotonically_increasing_id())
@@ -278,11 +290,14 @@ def read_elements(spark: SparkSession, path: str, field: str, schema: str) -> tu
         F.when(F.col("end").startswith("1"), "ends inside a string").when(F.col("end") != "0 0", "brackets do not match")
         .when(F.col("lowest") < 0, "text outside the document").when(F.col("documents") != 1, "not one document")
     )
-    bad = ends.select("file", reason.alias("reason")).where("reason is not null")
+    files = _files(spark, path)
+    bad = ends.select(F.col("file").alias("key"), reason.alias("reason")).where("reason is not null").join(files, "key").select("file", "reason")
     bad = bad.unionByName(empty_files(spark, path).select("file", F.lit("no bytes").alias("reason")))
     bad = stored(bad, "unreadable")
     parsed = F.from_json("text", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    judged = texts.join(bad, "file", "left_anti").select("file", "text", parsed.alias("_e"))
+    named = texts.withColumnRenamed("file", "key").join(files, "key").select("file", "text").join(bad, "file", "left_anti")
+    # The outer form keeps Catalyst from parsing an element again in the filter and for every field.
+    judged = named.select("file", "text", F.explode_outer(F.array(parsed)).alias("_e"))
     fits = F.coalesce(F.col("_e").isNotNull() & F.col(f"_e.{CORRUPT}").isNull(), F.lit(False))
     elements = judged.where(fits).select("file", "_e.*").drop(CORRUPT)
     rejects = judged.where(~fits).select("file", F.col("text").alias("value"), F.lit("element does not fit the schema").alias("reason"))

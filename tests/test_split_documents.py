@@ -134,3 +134,32 @@ def test_files_of_no_bytes_are_set_aside(spark):
     assert sorted((f[-5:], v) for f, v in values(bad)) == [("b.txt", ""), ("c.txt", '{"a": 2} z')]
     nothing = documents.read_documents(spark, write(spark, {"b.txt": ""}), "a int")
     assert nothing[0].count() == 0 and nothing[1].count() == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fragments_are_narrow_and_elements_parsed_once(spark, split_bytes):
+    path = write(spark, {"a b.json": '{"items": [{"n": 1, "s": "x"}, {"n": "no"}, {"n": 2}]}', "b.json": '{"items": [{"n": 3}]} x', "c.json": ""})
+    fragments = split_documents._fragments(spark, path)
+    assert dict(fragments.dtypes)["file"] == "bigint"
+    elements, rejects = split_documents.read_elements(spark, path, "items", ITEM)
+    assert sorted(r.n for r in elements.collect()) == [1, 2]
+    assert plan_of(elements.select("n", "s")).count("from_json") == 1
+    got = sorted((os.path.basename(r.file), r.value or "", r.reason) for r in rejects.collect())
+    assert [g[0].replace("%20", " ") for g in got] == ["a b.json", "b.json", "c.json"]
+    assert [g[1:] for g in got] == [('{"n": "no"}', "element does not fit the schema"), ("", "text outside the document"), ("", "no bytes")]
+
+
+def test_empty_files_are_found_without_reading(spark):
+    path = write(spark, {"a.json": "{}", "b.json": ""})
+    found = documents.empty_files(spark, path)
+    assert "FileScan text" not in plan_of(found) and "content" not in plan_of(found).split("ReadSchema")[-1]
+    assert [os.path.basename(r.file) for r in found.collect()] == ["b.json"]
+
+
+def test_names_of_one_hash_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(split_documents, "_file_key", lambda file: F.length(file).cast("long"))
+    with pytest.raises(ValueError, match="one hash"):
+        split_documents.read_elements(spark, write(spark, {"a.json": "{}", "b.json": "{}"}), "items", ITEM)
