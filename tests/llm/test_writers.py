@@ -316,3 +316,29 @@ def test_words_before_marks_are_encoded_once(monkeypatch):
     assert encode.encode(pa.array(texts)) == [encode.whole(t) for t in texts]
     assert seen.count(" wort") == 1 and seen.count("Oh") == 1
     assert not {" wort,", " wort.", " wort###", " wort?!", " wort<|,"} & set(seen)
+
+
+def test_words_around_line_ends_and_indents_are_encoded_once(monkeypatch):
+    encode = Encoder(default_path())
+    texts = ["Wort.\nWort  wort,\n\n\tWort's (Wort)", "x\nWort\r\n    Wort--wört÷wört  ", "日本\nWort　 Wort \nWort\n\n"]
+    want = [encode.whole(t) for t in texts]
+    seen, wholes = [], []
+    together, whole = encode._together, encode.whole
+    monkeypatch.setattr(encode, "_together", lambda parts: seen.extend(parts) or together(parts))
+    monkeypatch.setattr(encode, "whole", lambda text: wholes.append(text) or whole(text))
+    assert encode.encode(pa.array(texts)) == want
+    assert len(seen) == len(set(seen)) and {"Wort", " Wort", " wort", "\n"} <= set(seen)
+    assert not [w for w in wholes if "ort" in w and w.isascii()]
+    assert encode.encode(pa.array(["", None, *texts]).slice(2)) == want
+
+
+def test_parts_have_the_ids_they_have_in_the_text():
+    encode = Encoder(default_path(), max_parts=50)
+    rng = np.random.default_rng(6)
+    atoms = np.array([*"aB9é ß×²ΩЖ日.,-('\n\t\r\x1c\x85  　​́ǅȿɐ", *[" "] * 8, *["\n"] * 3, "'s", "'ll", " the", "  "])
+    for _ in range(20):
+        texts = ["".join(rng.choice(atoms, n)) for n in rng.integers(1, 30, 100)]
+        assert encode.encode(pa.array(texts)) == [encode.whole(t) for t in texts]
+    long = "x" * 100
+    encode.encode(pa.array([f"{long} b"]))
+    assert long not in encode.parts and " b" in encode.parts
