@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.nested import rectangle
 from ..operators.ranking import top_n
 from ..operators.reshape import stack
-from ..session import scratch_dir
+from ..session import remove_dir, scratch_dir
 from ..sources import delimited, documents, fanout, html, manifest, paged, split_documents
 from ..streaming.landing import drain, ingest
 from .registry import query
@@ -53,26 +53,48 @@ def json_doc_rectangle(t):
     """,
 )
 def json_split_documents(t):
-    """The same rows through one large document per slice, which many tasks read."""
+    """The same rows through one large document per slice, which many tasks read.
+
+    The documents are many times as large as the table. Of a large table the slices are
+    landed in turns, and a turn's documents are removed once their elements are kept.
+    """
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    table_bytes = int(str(t.documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    turns = min(n, _TURNS, 1 + table_bytes // _TURN_BYTES)
+    found = []
+    for turn in range(turns):
+        path = _land_slices(t, n, turn, turns)
+        elements, _ = split_documents.read_elements(t.spark, path, "playlists", documents.PLAYLIST)
+        found.append(elements)
+        remove_dir(t.spark, path)
+    docs = stack(*found).select(F.array(F.struct("name", "pid", "num_followers", "tracks")).alias("playlists"))
+    rows = rectangle(docs, "playlists", ["name", "pid", "num_followers"], "tracks")
+    return rows.select("name", "pid", "num_followers", "track_name", F.col("position").cast("long").alias("position"))
+
+
+# Turns in which slices are landed: one for each of so many bytes of the table, and so many at most.
+_TURNS, _TURN_BYTES = 8, 32 << 20
+
+
+def _land_slices(t, n, turn, turns):
+    """Every ``turns``-th of the ``n`` slices as a document each; rows are brought together as they are and become JSON after that."""
     words = F.split("text", " ")
     tracks = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("track_name")))
-    playlist = F.struct(
-        F.col("source").alias("name"), F.col("doc_id").alias("pid"), F.col("n_chars").alias("num_followers"), tracks.alias("tracks")
+    playlist = F.struct("name", "pid", "num_followers", tracks.alias("tracks"))
+    slices = t.spark.range(turn, n, turns).select(F.col("id").cast("int").alias("slice"))
+    slice_ = F.pmod("doc_id", F.lit(n)).cast("int")
+    rows = t.documents.select(
+        slice_.alias("slice"), F.lit(1).alias("part"), F.col("source").alias("name"), F.col("doc_id").alias("pid"), F.col("n_chars").alias("num_followers"), "text"
+    ).where(F.coalesce("slice", F.lit(0)) % turns == turn)
+    lines = stack(slices.withColumn("part", F.lit(0)), rows, slices.withColumn("part", F.lit(2)))
+    lines = lines.repartitionById(len(range(turn, n, turns)), F.coalesce(F.expr(f"slice div {turns}").cast("int"), F.lit(0))).sortWithinPartitions("slice", "part")
+    value = (
+        F.when(F.col("part") == 0, '{"info": {"slice": "[{"}, "playlists": [null').when(F.col("part") == 2, "]}")
+        .otherwise(F.concat(F.lit(", "), F.to_json(playlist)))
     )
-    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = t.spark.range(n).select(F.col("id").cast("int").alias("slice"))
-    head = slices.select("slice", F.lit(0).alias("part"), F.lit('{"info": {"slice": "[{"}, "playlists": [null').alias("value"))
-    body = t.documents.select(
-        F.pmod("doc_id", F.lit(n)).cast("int").alias("slice"), F.lit(1).alias("part"), F.concat(F.lit(", "), F.to_json(playlist)).alias("value")
-    )
-    tail = slices.select("slice", F.lit(2).alias("part"), F.lit("]}").alias("value"))
     path = scratch_dir(t.spark, "slices")
-    lines = head.union(body).union(tail).repartition(n, "slice").sortWithinPartitions("slice", "part")
-    lines.select("slice", "value").write.partitionBy("slice").text(path)
-    elements, _ = split_documents.read_elements(t.spark, path, "playlists", documents.PLAYLIST)
-    docs = elements.select(F.array(F.struct("name", "pid", "num_followers", "tracks")).alias("playlists"))
-    rows = rectangle(docs, "playlists", ["name", "pid", "num_followers"], "tracks")
-    return rows.select("name", "pid", "num_followers", "track_name", F.col("position").cast("long").alias("position"))
+    lines.select("slice", value.alias("value")).write.partitionBy("slice").text(path)
+    return path
 
 
 @query(

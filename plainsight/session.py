@@ -67,14 +67,21 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder whose files no table reads any more, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write a table to the shared scratch folder and read it back.
 
     For tables that may be large: readers see only the columns they need, and
-    Spark knows the size.
+    Spark knows the size. ``compression`` is that of the session if not named.
     """
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -52,8 +52,8 @@ def empty_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def filled_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files that have bytes, a row each: (``file``). Their content is not read."""
-    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    """The files that have bytes, a row each: (``file``, ``name``, ``length``), ``file`` being the escaped name. Their content is not read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("path").alias("name"), "length")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,25 +16,42 @@ from .documents import CORRUPT, empty_files, filled_files
 
 # Readers cut files at this character: a fragment starts with it, and no key or bracket lies across a cut.
 _CUT = "{"
+# Files may start with this mark of their encoding.
+_BOM = b"\xef\xbb\xbf"
 # The table of splits, a row each, is broadcast up to this size.
 _BROADCAST_BYTES = 64 << 20
 _ELEMENT, _PIECE, _STATE = 0, 1, 2
 _STATES = "quotes long, depth0 int, lowest0 int, open0 array<int>, depth1 int, lowest1 int, open1 array<int>"
 
+# What a byte is: a bracket's step, 0 for a quote, or a backslash.
+_SLASH = 2
+_KINDS = np.zeros(256, np.int8)
+_KINDS[[ord(c) for c in "{[}]\\"]] = 1, 1, -1, -1, _SLASH
+_MARKS = bytes((_KINDS != 0) | (np.arange(256) == ord('"')))
+
 
 class Brackets:
     """The quotes and brackets of a piece of JSON, and which brackets open the array of a field."""
 
     def __init__(self, text: bytes, field: re.Pattern):
         data = np.frombuffer(text, np.uint8)
-        self.quotes = _unescaped_quotes(data)
-        opening = (data == ord("{")) | (data == ord("["))
-        at = np.flatnonzero(opening | (data == ord("}")) | (data == ord("]")))
-        self.at, self.step = at, np.where(opening[at], 1, -1)
-        self.odd = np.searchsorted(self.quotes, at) % 2
-        named = [(m.start(), m.end() - 1) for m in field.finditer(text)]
-        keys = np.isin([a for a, _ in named], self.quotes)
-        self.names = np.isin(at, np.array([b for _, b in named], np.int64)[keys])
+        # Text is gone over once for the few bytes that matter, the rest is done on those.
+        marks = np.flatnonzero(np.frombuffer(text.translate(_MARKS), bool))
+        kinds = _KINDS[data[marks]]
+        if b"\\" in text:
+            keep = ~_escaped(marks, kinds) & (kinds != _SLASH)
+            marks, kinds = marks[keep], kinds[keep]
+        quote = kinds == 0
+        self.quotes = marks[quote]
+        brackets = np.flatnonzero(~quote)
+        self.at, self.step = marks[brackets], kinds[brackets]
+        # Of the marks before a bracket, those that are no brackets are quotes.
+        self.odd = (brackets - np.arange(len(brackets))) & 1
+        # Both lists of places are in order: a search tells what is in them, without hashing either.
+        named = np.array([(m.start(), m.end() - 1) for m in field.finditer(text)], np.int64).reshape(-1, 2)
+        keys = np.append(self.quotes, -1)[np.searchsorted(self.quotes, named[:, 0])] == named[:, 0]
+        self.names = np.zeros(len(self.at), bool)
+        self.names[np.searchsorted(self.at, named[keys, 1])] = True
 
     def outside(self, in_string: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, steps and named openings of the brackets outside strings, if the text starts inside one or not."""
@@ -41,16 +59,18 @@ class Brackets:
         return self.at[keep], self.step[keep], self.names[keep]
 
 
-def _unescaped_quotes(data: np.ndarray) -> np.ndarray:
-    quotes = np.flatnonzero(data == ord('"'))
-    slashes = np.flatnonzero(data == ord("\\"))
-    if not len(slashes):
-        return quotes
-    # What follows a run of backslashes of odd length is escaped.
-    first = np.flatnonzero(np.diff(slashes, prepend=-2) != 1)
-    length = np.diff(np.append(first, len(slashes)))
-    escaped = slashes[first + length - 1][length % 2 == 1] + 1
-    return quotes[~np.isin(quotes, escaped)]
+def _escaped(marks: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Which quotes follow a run of backslashes of odd length. A bracket there stays one: JSON has no such escape."""
+    slash = np.flatnonzero(kinds == _SLASH)
+    places = marks[slash]
+    first = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    length = np.diff(np.append(first, len(places)))
+    last = slash[first + length - 1][length % 2 == 1]
+    last = last[last + 1 < len(marks)]
+    hit = last[marks[last + 1] == marks[last] + 1] + 1
+    escaped = np.zeros(len(marks), bool)
+    escaped[hit[kinds[hit] == 0]] = True
+    return escaped
 
 
 def _fragments(spark: SparkSession, path: str) -> DataFrame:
@@ -69,14 +89,98 @@ def _file_key(file: Column) -> Column:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """The files that have bytes, and the hash that fragments name them by: (``key``, ``file``)."""
-    files = filled_files(spark, path).select(_file_key(F.col("file")).alias("key"), "file")
+    """The files that have bytes, and the hash that splits name them by: (``key``, ``file``, ``name``, ``length``)."""
+    files = filled_files(spark, path).select(_file_key(F.col("file")).alias("key"), "file", "name", "length")
     files = stored(files, "files")
     if not files.groupBy("key").count().where("count > 1").isEmpty():
         raise ValueError(f"two files below {path} have names of one hash")
     return files
 
 
+def _opened(name: str) -> tuple[fs.FileSystem, str]:
+    return (fs.LocalFileSystem(), "/" + name[5:].lstrip("/")) if name.startswith("file:") else fs.FileSystem.from_uri(name)
+
+
+def _in_reach(spark: SparkSession, files: DataFrame) -> bool:
+    """Whether Arrow can read the files as they are: it knows their store, and Spark's reader would unpack none of them."""
+    ends = [r[0] for r in files.select(F.regexp_extract("name", r"\.[^./]*$", 0)).distinct().collect()]
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    if any(codecs.getCodec(spark._jvm.org.apache.hadoop.fs.Path("a" + end)) is not None for end in ends):
+        return False
+    first = files.select("name").first()
+    try:
+        store, place = _opened(first.name) if first else (None, None)
+        return store is not None and store.get_file_info(place).is_file
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def _splits(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, int]:
+    """Parts of the files, cut and packed about as Spark's readers do, and the number of tasks: (``file``, ``split``, ``name``, ``end``, ``task``)."""
+    conf = spark._jsparkSession.sessionState().conf()
+    most, cost = conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()
+    total = files.agg(F.sum(F.col("length") + cost)).first()[0]
+    step = max(1, min(most, max(cost, total // spark.sparkContext.defaultParallelism)))
+    before = F.sum(F.col("length") + cost).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long")))
+    splits = files.withColumn("before", F.coalesce(before, F.lit(0))).select(F.col("key").alias("file"), starts.alias("split"), "name", "length", "before")
+    end = F.least(F.col("split") + step, "length")
+    task = F.floor((F.col("before") + F.col("split")) / F.lit(step))
+    return stored(splits.select("file", "split", "name", end.alias("end"), task.cast("long").alias("task")), "splits"), total // step + 1
+
+
+def _dealt(splits: DataFrame, tasks: int) -> DataFrame:
+    """The rows of the splits, where their tasks read them."""
+    if 256 * splits.count() > _BROADCAST_BYTES:
+        return splits.repartition(tasks, "task").drop("task")
+    numbers = splits.sparkSession.range(0, tasks, 1, tasks).withColumnRenamed("id", "task")
+    return numbers.join(F.broadcast(splits), "task").drop("task")
+
+
+def _part(name: str, start: int, end: int, max_bytes: int) -> Iterator[bytes]:
+    """Text from the first cut at or after ``start`` to the first at or after ``end``; pieces of some ``max_bytes``, all but a file's first start at a cut."""
+    cut = _CUT.encode()
+    store, place = _opened(name)
+    with store.open_input_file(place) as f:
+        f.seek(start)
+        held, at, begun = bytearray(), start, False  # text not given yet, and where it starts
+        while data := f.read(max(1 << 16, min(max_bytes, end - at - len(held)))):
+            new = at + len(held)
+            held += data
+            if not begun:
+                first = 0 if start == 0 else held.find(cut)
+                if first < 0 or at + first >= end:
+                    if at + len(held) >= end:
+                        return
+                    at, held = at + len(held), bytearray()
+                    continue
+                begun, at, held = True, at + first, held[first:]
+            stop = held.find(cut, max(end, new) - at)
+            if at + len(held) > end and stop >= 0:
+                yield _without_mark(held[:stop], at)
+                return
+            last = held.rfind(cut)
+            if last > 0 and len(held) >= max_bytes:
+                yield _without_mark(held[:last], at)
+                at, held = at + last, held[last:]
+        if begun:
+            yield _without_mark(held, at)
+
+
+def _without_mark(text: bytearray, at: int) -> bytes:
+    return bytes(text.removeprefix(_BOM) if at == 0 else text)
+
+
+def _read_splits(batches: Iterator[pa.RecordBatch], max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, bool, bytes]]:
+    """The same as :func:`_chunks` from rows that only name the splits."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            name, start, end = (row.column(c)[0].as_py() for c in ("name", "split", "end"))
+            for k, text in enumerate(_part(name, start, end, max_bytes)):
+                yield row, k == 0, text
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, bool, bytes]]:
     """Text in order: the row it starts at, whether a split starts there, and some ``max_bytes`` of whole fragments."""
     last = None
@@ -105,7 +209,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iter
         last = (batch.column(0)[n - 1].as_py(), int(splits[n - 1]))
 
 
-def _split_states(fragments: DataFrame, field: re.Pattern) -> DataFrame:
+def _split_states(splits: DataFrame, read: Callable, field: re.Pattern) -> DataFrame:
     """What each split does to the reader's state, for both cases: it starts outside a string, or inside one.
 
     ``depth`` is how far brackets lead, ``lowest`` the lowest they get on the way, and
@@ -121,7 +225,7 @@ def _split_states(fragments: DataFrame, field: re.Pattern) -> DataFrame:
                 columns += [pa.array([depth], pa.int32()), pa.array([lowest], pa.int32()), pa.array([sorted(set(opened))], pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for start, begins, text in _chunks(batches):
+        for start, begins, text in read(batches):
             if begins:
                 if row is not None:
                     yield finished()
@@ -141,7 +245,7 @@ def _split_states(fragments: DataFrame, field: re.Pattern) -> DataFrame:
             yield finished()
 
     names = ["file", "split", "quotes", "depth0", "lowest0", "open0", "depth1", "lowest1", "open1"]
-    return stored(fragments.mapInArrow(run, f"file long, split long, {_STATES}"), "split-states")
+    return stored(splits.mapInArrow(run, f"file long, split long, {_STATES}"), "split-states")
 
 
 def _starts(states: DataFrame) -> DataFrame:
@@ -158,7 +262,7 @@ def _starts(states: DataFrame) -> DataFrame:
     return known.select("file", "split", "in_string", "start_depth", "inside")
 
 
-def _elements(fragments: DataFrame, field: re.Pattern) -> DataFrame:
+def _elements(splits: DataFrame, read: Callable, field: re.Pattern) -> DataFrame:
     """Whole elements, pieces of those that a cut goes through (``mark`` 1 where one begins), and what ends each split.
 
     For the last kind ``mark`` counts the documents that begin in the split, -1 where
@@ -184,21 +288,22 @@ def _elements(fragments: DataFrame, field: re.Pattern) -> DataFrame:
             rows.append((_STATE, -1 if state.stray else state.documents, f"{state.in_string} {state.depth}".encode()))
             return flush()
 
-        for start, begins, text in _chunks(batches):
+        for start, begins, text in read(batches):
             if begins:
                 if row is not None:
                     yield end()
                 row = start
-                if row.column(3)[0].as_py() is None:
+                known = [row.column(c)[0].as_py() for c in ("in_string", "start_depth", "inside")]
+                if known[0] is None:
                     raise ValueError(f"the files changed while they were read")
-                state = _Reader(*(row.column(i)[0].as_py() for i in (3, 4, 5)))
+                state = _Reader(*known)
             rows += state.read(text, field)
             if rows:
                 yield flush()
         if row is not None:
             yield end()
 
-    return stored(fragments.mapInArrow(run, "file long, split long, kind int, mark int, text string"), "elements")
+    return stored(splits.mapInArrow(run, "file long, split long, kind int, mark int, text string"), "elements", "zstd")
 
 
 class _Reader:
@@ -248,6 +353,17 @@ class _Reader:
             self.stray |= bool(text[a:following].strip())
 
 
+def _elements_of_fragments(fragments: DataFrame, field: re.Pattern) -> DataFrame:
+    """The same elements through Spark's text reader, a row per fragment."""
+    starts = stored(_starts(_split_states(fragments, _chunks, field)), "split-starts")
+    if 48 * starts.count() <= _BROADCAST_BYTES:
+        placed = fragments.join(F.broadcast(starts), ["file", "split"], "left")
+    else:
+        numbered = fragments.withColumn("_id", F.monotonically_increasing_id())
+        placed = numbered.join(starts.hint("merge"), ["file", "split"], "left").sortWithinPartitions("file", "split", "_id").drop("_id")
+    return _elements(placed.select("file", "split", "value", "in_string", "start_depth", "inside"), _chunks, field)
+
+
 def read_elements(spark: SparkSession, path: str, field: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """The objects in the array ``field`` of each JSON document, and what could not be read.
 
@@ -257,24 +373,28 @@ def read_elements(spark: SparkSession, path: str, field: str, schema: str) -> tu
     elements that do not fit the schema. Elements that are no objects are skipped, as
     are other fields of the document; one without the field has no elements.
 
-    Files of any size: Spark splits them, and a task reads its split alone. Whether a
+    Files of any size: they are split, and a task reads its split alone; by Arrow, or
+    by Spark's reader where Arrow does not know the store or files are packed. Whether a
     bracket is structure depends on all text before it, so a first pass finds for each
     split how it changes strings, depth and the open array, in both cases; those rows
     are put in order to give each split's start. A second pass cuts out the elements.
     Only pieces of elements that lie across splits are shuffled. An element, not a
     document, must fit in a task.
+
+    The files are read before this returns. The elements' texts are kept, compressed, in
+    the scratch folder, and both tables read those, so the files may be removed.
     """
     if _CUT in field or '"' in field or "\\" in field:
         raise ValueError("the field's name must be plain")
     pattern = re.compile(rb'"' + re.escape(field.encode()) + rb'"\s*:\s*\[')
-    fragments = _fragments(spark, path)
-    starts = stored(_starts(_split_states(fragments, pattern)), "split-starts")
-    if 48 * starts.count() <= _BROADCAST_BYTES:
-        placed = fragments.join(F.broadcast(starts), ["file", "split"], "left")
+    files = _files(spark, path)
+    if _in_reach(spark, files):
+        splits, tasks = _splits(spark, files)
+        starts = _starts(_split_states(_dealt(splits, tasks), _read_splits, pattern))
+        known = stored(splits.join(starts, ["file", "split"], "left"), "split-starts")
+        found = _elements(_dealt(known, tasks), _read_splits, pattern)
     else:
-        numbered = fragments.withColumn("_id", F.monotonically_increasing_id())
-        placed = numbered.join(starts.hint("merge"), ["file", "split"], "left").sortWithinPartitions("file", "split", "_id").drop("_id")
-    found = _elements(placed.select("file", "split", "value", "in_string", "start_depth", "inside"), pattern)
+        found = _elements_of_fragments(_fragments(spark, path), pattern)
 
     pieces = found.where(F.col("kind") == _PIECE)
     heads = F.sum("mark").over(Window.partitionBy("file").orderBy("split", "mark"))  # two rows a split, without texts
@@ -290,8 +410,7 @@ def read_elements(spark: SparkSession, path: str, field: str, schema: str) -> tu
         F.when(F.col("end").startswith("1"), "ends inside a string").when(F.col("end") != "0 0", "brackets do not match")
         .when(F.col("lowest") < 0, "text outside the document").when(F.col("documents") != 1, "not one document")
     )
-    files = _files(spark, path)
-    bad = ends.select(F.col("file").alias("key"), reason.alias("reason")).where("reason is not null").join(files, "key").select("file", "reason")
+    bad = ends.select(F.col("file").alias("key"), reason.alias("reason")).where("reason is not null").join(files.select("key", "file"), "key").select("file", "reason")
     bad = bad.unionByName(empty_files(spark, path).select("file", F.lit("no bytes").alias("reason")))
     bad = stored(bad, "unreadable")
     parsed = F.from_json("text", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})

@@ -1,3 +1,4 @@
+import gzip
 import json
 import os
 import random
@@ -6,9 +7,11 @@ import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
+from plainsight.catalog import scans
 from plainsight.operators.nested import rectangle
 from plainsight.session import scratch_dir
 from plainsight.sources import documents, split_documents
+from plainsight.tables import Tables
 
 ITEM = "n long, s string, xs array<struct<v: string>>"
 NASTY = ['a{b}', '"', '\\', '\\"', '}]', '{"items": [', "é\n\t", "\\\\\"{", "", '"items": [{', " ", "]}" * 30]
@@ -163,3 +166,82 @@ def test_names_of_one_hash_are_refused(spark, monkeypatch):
     monkeypatch.setattr(split_documents, "_file_key", lambda file: F.length(file).cast("long"))
     with pytest.raises(ValueError, match="one hash"):
         split_documents.read_elements(spark, write(spark, {"a.json": "{}", "b.json": "{}"}), "items", ITEM)
+
+
+def test_parts_of_a_file_make_the_whole(tmp_path):
+    rng = random.Random(3)
+    for size in (0, 1, 7, 400, 200_000):
+        text = "".join(rng.choice(['{"a": 1}', "{", "x", "é", "[1, 2]", " " * 40, "y" * 300]) for _ in range(size)).encode() or b"x"
+        (tmp_path / "a b%.json").write_bytes(text)
+        for step in (1 + len(text) // 50, 1 + len(text) // 3, len(text) + 5):
+            for max_bytes in (10, 1 << 20):
+                starts = range(0, len(text), step)
+                parts = [list(split_documents._part(f"file:{tmp_path}/a b%.json", a, min(a + step, len(text)), max_bytes)) for a in starts]
+                assert b"".join(x for p in parts for x in p) == text
+                assert all(x.startswith(b"{") for p in parts[1:] for x in p) and parts[0]
+                assert all(len(x) < max(1 << 17, 2 * max_bytes) for p in parts for x in p)
+    (tmp_path / "b.json").write_bytes(b"\xef\xbb\xbf{}")
+    assert list(split_documents._part(f"file:{tmp_path}/b.json", 0, 5, 1 << 20)) == [b"{}"]
+
+
+def test_brackets_equal_a_walk_over_the_text():
+    rng = random.Random(4)
+    pattern = split_documents.re.compile(rb'"it"\s*:\s*\[')
+    for _ in range(3_000):
+        text = "".join(rng.choice(['"', "\\", "{", "}", "[", "]", '"it": [', "a", '\\"it":[', "\\\\"]) for _ in range(rng.randrange(20))).encode()
+        quotes, brackets, slashes = [], [], 0
+        for i, c in enumerate(text.decode()):
+            if c == '"' and slashes % 2 == 0:
+                quotes.append(i)
+            elif c in "{}[]":
+                brackets.append((i, 1 if c in "{[" else -1, len(quotes) % 2))
+            slashes = slashes + 1 if c == "\\" else 0
+        named = {m.end() - 1 for m in pattern.finditer(text) if m.start() in quotes}
+        got = split_documents.Brackets(text, pattern)
+        assert got.quotes.tolist() == quotes
+        assert list(zip(got.at.tolist(), got.step.tolist(), got.odd.tolist())) == brackets
+        assert got.names.tolist() == [i in named for i, _, _ in brackets]
+
+
+def test_packed_files_and_other_stores_are_read_by_spark(spark, split_bytes, monkeypatch):
+    items = [item(random.Random(6), i) for i in range(9)]
+    text = json.dumps({"items": items})
+    packed = write(spark, {"a.json.gz": gzip.compress(text.encode()), "b.json": text})
+    assert not split_documents._in_reach(spark, split_documents._files(spark, packed))
+    elements, rejects = split_documents.read_elements(spark, packed, "items", ITEM)
+    assert found(elements) == sorted(expected("a.json.gz", items) + expected("b.json", items)) and rejects.count() == 0
+
+    plain = write(spark, {"a.json": text, "b.json": text + "]"})
+    assert split_documents._in_reach(spark, split_documents._files(spark, plain))
+    direct = [sorted(map(str, df.collect())) for df in split_documents.read_elements(spark, plain, "items", ITEM)]
+    monkeypatch.setattr(split_documents, "_opened", lambda name: (_ for _ in ()).throw(OSError("no such store")))
+    assert [sorted(map(str, df.collect())) for df in split_documents.read_elements(spark, plain, "items", ITEM)] == direct
+
+
+def test_documents_of_a_large_table_lie_on_disk_in_turns(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(rng_words(i)), "en", f"s{i % 3}", i * 7) for i in range(60)] + [(3, None, "en", "s", 1), (5, "", "en", None, None), (7, "a", "en", "s", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(scans, "_TURN_BYTES", 1)
+    monkeypatch.setattr(scans, "_TURNS", 3)
+    paths, landed, real = [], [], split_documents.read_elements
+
+    def watched(session, path, *args):
+        paths.append(path)
+        landed.append(sum(len(os.listdir(p)) - 2 for p in paths if os.path.isdir(p)))  # besides _SUCCESS and its checksum
+        return real(session, path, *args)
+
+    monkeypatch.setattr(split_documents, "read_elements", watched)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = scans.json_split_documents(Tables(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(paths) == 3 and sorted(landed) == [2, 2, 3] and not any(os.path.isdir(p) for p in paths)
+    want = [(s, i, n, w, k) for i, t, _, s, n in rows if t is not None for k, w in enumerate(t.split(" "), 1)]
+    assert sorted(map(str, values(got))) == sorted(map(str, want))
+
+
+def rng_words(i):
+    rng = random.Random(i)
+    return [rng.choice(["a", "{b", '"', "\\", "]}", "é", ""]) for _ in range(rng.randrange(1, 30))]
